@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP4_SQL, op4_chat_format
+from .packing import op10_best_fit_packing
 from .sharding import op2_jump_sharding
+from .token_counts import op5_token_counts
+from .topk import OP1_SQL, op1_threshold_topk
 from .url_reputation import OP9_SQL, op9_url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jump_sharding, op4_chat_format, op9_url_reputation)
+    f.__name__: f for f in (
+        op1_threshold_topk, op2_jump_sharding, op4_chat_format, op5_token_counts, op9_url_reputation, op10_best_fit_packing,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op9_url_reputation": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_threshold_topk": OP1_SQL, "op4_chat_format": OP4_SQL, "op9_url_reputation": OP9_SQL}
