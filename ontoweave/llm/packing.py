@@ -150,19 +150,19 @@ def plan_best_fit(counts: Mapping[int, int], capacity: int) -> list[tuple[int, i
     return runs
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, rows_per_slice: int = 50_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, rows_per_slice: int = 2_000) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset; no sequence exceeds the capacity.
 
     Ranks within a length are counted in hashed slices of bounded size, so a length that most pieces share is not one
-    task's work. The plan that is broadcast depends on the capacity only, not on the number of pieces.
+    task's work. What is broadcast, the slices of each length and the plan, depends on the capacity only.
     """
     spark = pieces.sparkSession
     by_length = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = plan_best_fit(by_length, capacity)
     plan = spark.createDataFrame(runs, "length long, from_rank long, to_rank long, each long, first_sequence long, at long")
-    slices = max(1, math.ceil(sum(by_length.values()) / rows_per_slice))
-    cut = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int")
-    pieces = pieces.withColumn("slice", cut)
+    slices = spark.createDataFrame([(n, math.ceil(c / rows_per_slice)) for n, c in by_length.items()], "length long, slices int")
+    cut = F.pmod(F.xxhash64("doc_id", "piece"), F.col("slices")).cast("int")
+    pieces = pieces.join(F.broadcast(slices), "length").withColumn("slice", cut).drop("slices")
     upto = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.groupBy("length", "slice").count().select("length", "slice", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("rank_start"))
     within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
