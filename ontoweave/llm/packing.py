@@ -156,7 +156,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, rows_per_slice: int = 2_000) -
     Ranks within a length are counted in hashed slices of bounded size, so a length that most pieces share is not one
     task's work. What is broadcast, the slices of each length and the plan, depends on the capacity only.
     """
-    spark = pieces.sparkSession
+    spark, columns = pieces.sparkSession, pieces.columns
     by_length = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = plan_best_fit(by_length, capacity)
     plan = spark.createDataFrame(runs, "length long, from_rank long, to_rank long, each long, first_sequence long, at long")
@@ -172,7 +172,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, rows_per_slice: int = 2_000) -
     return (
         placed.withColumn("sequence_id", F.col("first_sequence") + F.floor(step / F.col("each")))
         .withColumn("offset", F.col("at") + step % F.col("each") * F.col("length"))
-        .drop("slice", "nth", "rank_start", "rank", "from_rank", "to_rank", "each", "first_sequence", "at")
+        .select(*columns, "sequence_id", "offset")
     )
 
 
