@@ -296,14 +296,14 @@ def gr_19_build_graph(spark, d):
     return graph.build_graph(_trade(spark, d))
 
 
-@query(TRADE_SQL + ", both as (select src as n, dst as o from e union select dst, src from e), deg as (select n, count(*) as degree from both group by 1) select n as node, degree, round(greatest(0.05, 1 - log10(1 + degree) / 4), 6) as specificity from deg")
+@query(TRADE_SQL + ", ends as (select src as n, dst as o from e union select dst, src from e), deg as (select n, count(*) as degree from ends group by 1) select n as node, degree, round(greatest(0.05, 1 - log10(1 + degree) / 4), 6) as specificity from deg")
 def gr_53_degree_specificity(spark, d):
     e = _trade(spark, d)
     deg = e.select(F.col("src").alias("node"), F.col("dst").alias("o")).union(e.select("dst", "src")).distinct().groupBy("node").agg(F.count("*").alias("degree"))
     return deg.withColumn("specificity", F.round(degree_specificity(F.col("degree")), 6))
 
 
-@query(TRADE_SQL + ", both as (select src as n, dst as o, relation from e union select dst, src, relation from e), deg as (select n, count(distinct o) as degree from both group by 1), h as (select n, count(distinct o) as named from both where o like 'customer:%' group by 1 having count(distinct o) >= 2) select n as node, named, round(named * greatest(0.05, 1 - log10(1 + degree) / 4), 6) as score from h join deg using (n) order by score desc, node limit 25")
+@query(TRADE_SQL + ", ends as (select src as n, dst as o, relation from e union select dst, src, relation from e), deg as (select n, count(distinct o) as degree from ends group by 1), h as (select n, count(distinct o) as named from ends where o like 'customer:%' group by 1 having count(distinct o) >= 2) select n as node, named, round(named * greatest(0.05, 1 - log10(1 + degree) / 4), 6) as score from h join deg using (n) order by score desc, node limit 25")
 def gr_62_convergence_hubs(spark, d):
     e = _trade(spark, d)
     both = e.select(F.col("src").alias("node"), F.col("dst").alias("o")).union(e.select("dst", "src")).distinct()

@@ -60,7 +60,7 @@ def jn_11_or_join_as_union(spark, d):
     return o.join(c, "o_custkey", "left_semi").select("o_orderkey").union(o.where("o_orderpriority = '1-URGENT'").join(known, "o_custkey", "left_semi").select("o_orderkey")).distinct()
 
 
-@query("with x as (select o_custkey, p_brand, sum(l_quantity) as q, max((p_brand = 'Brand#11')::int) over (partition by o_custkey) as has from orders join lineitem on o_orderkey = l_orderkey join part on p_partkey = l_partkey group by all) select o_custkey, p_brand, q from x where p_brand = 'Brand#11' or (has = 0 and q >= 100)")
+@query("with y as (select o_custkey, p_brand, sum(l_quantity) as q from orders join lineitem on o_orderkey = l_orderkey join part on p_partkey = l_partkey group by all), x as (select *, max((p_brand = 'Brand#11')::int) over (partition by o_custkey) as has from y) select o_custkey, p_brand, q from x where p_brand = 'Brand#11' or (has = 0 and q >= 100)")
 def jn_13_preferred_else_fallback(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
     x = table(spark, d, "orders").join(li, F.expr("o_orderkey = l_orderkey")).groupBy("o_custkey", "p_brand").agg(F.sum("l_quantity").alias("q"))
@@ -119,7 +119,7 @@ def o_agg_09_support(spark, d):
     return x.groupBy("text_key").agg(F.count_distinct("source").alias("support"), F.min("doc_id").alias("first_doc")).where("support >= 2")
 
 
-@query("with r as (select c_nationkey, o_custkey, dense_rank() over (partition by c_nationkey order by sum(o_totalprice) desc) as rank from orders join customer on o_custkey = c_custkey group by all), m as (select c_nationkey, avg(1.0 / rank) as mrr, avg((rank <= 3)::int) as top3 from r group by 1) select 'micro' as level, round((select avg(1.0 / rank) from r), 6) as mrr, round((select avg((rank <= 3)::int) from r), 6) as top3 union all select 'macro', round(avg(mrr), 6), round(avg(top3), 6) from m")
+@query("with s as (select c_nationkey, o_custkey, sum(o_totalprice) as spent from orders join customer on o_custkey = c_custkey group by all), r as (select *, dense_rank() over (partition by c_nationkey order by spent desc) as rank from s), m as (select c_nationkey, avg(1.0 / rank) as mrr, avg((rank <= 3)::int) as top3 from r group by 1) select 'micro' as level, round((select avg(1.0 / rank) from r), 6) as mrr, round((select avg((rank <= 3)::int) from r), 6) as top3 union all select 'macro', round(avg(mrr), 6), round(avg(top3), 6) from m")
 def o_agg_10_micro_macro(spark, d):
     x = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).groupBy("c_nationkey", "o_custkey").agg(F.sum("o_totalprice").alias("spent"))
     r = x.withColumn("rank", F.dense_rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("spent"))))
@@ -142,7 +142,7 @@ def o_agg_13_cooccurrence(spark, d):
     x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey")).select("l_orderkey", "p_brand").distinct()
     groups = x.select(F.count_distinct("l_orderkey")).first()[0]
     common = x.groupBy("p_brand").agg(F.count("*").alias("df")).where(F.col("df") <= max(3.0, 0.2 * groups)).select("p_brand")
-    k = x.join(F.broadcast(common) if common.count() <= 100_000 else common, "p_brand", "left_semi")
+    k = x.join(F.broadcast(common) if common.count() <= 100_000 else common, "p_brand", "left_semi").select("l_orderkey", "p_brand")
     return k.toDF("k", "a").join(k.toDF("k", "b"), "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
 
 
@@ -202,7 +202,7 @@ def win_05_best_row(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(best.alias("b")).select("l_partkey", F.col("b.l_extendedprice").alias("price"), F.col("b.l_suppkey").alias("l_suppkey"))
 
 
-@query("with r as (select c_mktsegment, o_custkey, row_number() over (partition by c_mktsegment order by sum(o_totalprice) desc, o_custkey)::int as rank from orders join customer on o_custkey = c_custkey group by all), t as (select c_mktsegment, c_custkey as o_custkey from customer where c_acctbal > 9900) select c_mktsegment, min(rank) as rank from t left join r using (c_mktsegment, o_custkey) group by 1")
+@query("with s as (select c_mktsegment, o_custkey, sum(o_totalprice) as spent from orders join customer on o_custkey = c_custkey group by all), r as (select *, row_number() over (partition by c_mktsegment order by spent desc, o_custkey)::int as rank from s), t as (select c_mktsegment, c_custkey as o_custkey from customer where c_acctbal > 9900) select c_mktsegment, min(rank) as rank from t left join r using (c_mktsegment, o_custkey) group by 1")
 def win_06_rank_of_truth(spark, d):
     c = table(spark, d, "customer")
     x = table(spark, d, "orders").join(c, F.expr("o_custkey = c_custkey")).groupBy("c_mktsegment", "o_custkey").agg(F.sum("o_totalprice").alias("s"))
