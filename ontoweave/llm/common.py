@@ -43,3 +43,15 @@ def semi_join_checked(big: DataFrame, small: DataFrame, key: str, max_rows: int
     else:
         keys = keys.hint("merge")
     return big.join(keys, key, "left_semi")
+
+
+def bounded_batches(texts: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``texts`` for a Python operator that reads whole documents: Arrow batches of at most ``rows`` rows.
+
+    Spark's default of 10,000 rows makes batches of many megabytes of text in each task. A smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = texts.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return texts

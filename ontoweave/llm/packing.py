@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 
 class CachedTokenizer:
     """Ids of whole texts by a byte-level BPE file of ``tokenizers``; the ids of words met before come from a cache.
@@ -27,7 +27,7 @@ class CachedTokenizer:
     the sequence of its words; any other text is encoded in one go.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -112,7 +112,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
 
 
 def plan_best_fit(counts: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

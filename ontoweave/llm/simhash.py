@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, semi_join_checked, table
+from .common import bounded_batches, materialise, semi_join_checked, table
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = 64
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1, repeats: bool = True)
                 made.append(fingerprint(hashes if repeats else np.unique(hashes), words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp binary")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).mapInArrow(run, "doc_id long, fp binary")
 
 
 def exact_keys(bits: int, radius: int, rows: int, most: float = 8.0) -> list[list[int]]:
@@ -99,7 +99,7 @@ def banded_keys(rows: int, flip: float, recall: float, bucket: float = 64.0) ->
     return [list(range(i * width, (i + 1) * width)) for i in range(bands)]
 
 
-def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, at_once: int = 16_384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, at_once: int = 8_192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (i, j), i < j < ends[i], whose rows of ``fps`` (n, words) differ in at most ``radius`` bits, by pieces.
 
     ``ends``: for each row the end of its group of consecutive rows.
@@ -112,7 +112,7 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, at_once: int = 1
     # planes[p, b]: bit p of the 64 rows of block b, the first row in the lowest bit.
     packed = np.packbits(padded.reshape(blocks, LANES, width).transpose(2, 0, 1), axis=2, bitorder="little")
     planes = np.ascontiguousarray(packed).view("<u8")[:, :, 0].copy()
-    own = (bits.T.astype(np.uint64) * FULL).copy()
+    own = np.ascontiguousarray(bits.T)
     first, last = (np.arange(n) + 1) // LANES, (ends - 1) // LANES
     many = np.where(ends > np.arange(n) + 1, last - first + 1, 0)
     upto = np.cumsum(many)
@@ -129,7 +129,7 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, at_once: int = 1
         waiting: list[np.ndarray | None] = [None] * levels
 
         for plane in range(width):
-            carry, level = planes[plane][block] ^ own[plane][probe], 0
+            carry, level = np.where(own[plane][probe], ~planes[plane][block], planes[plane][block]), 0
             while True:
                 if level == levels:
                     over |= carry
@@ -199,7 +199,7 @@ class Forest:
         return x
 
 
-def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, group_rows: int = 16_384) -> DataFrame:
+def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, group_rows: int = 4_096) -> DataFrame:
     """(a, b, distance): links between ``nodes`` (node, fp) that agree on a key table and lie within ``radius``.
 
     All links are found; those of each group of a key are handed on as a spanning forest. A key with more than
@@ -261,7 +261,7 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
-            if size >= 4 * LANES * LANES and held:
+            if size >= LANES * LANES and held:
                 yield from flush(False)
         if held:
             yield from flush(True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .packing import byte_alphabet
 
 #: Added to a byte's symbol when it ends its word.
@@ -77,7 +77,7 @@ class LongestMatch:
 class WordPieces:
     """Counts for texts under a word-level vocabulary file whose pieces are byte strings, final ones marked ``</w>``."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -137,7 +137,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             got = [count(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (zip(*got, strict=True) if got else ([], [])))], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
 
 def default_vocabulary() -> str:
