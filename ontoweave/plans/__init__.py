@@ -1,4 +1,4 @@
 """Queries of the library bound to the driver's tables; importing this registers them."""
 
-from . import graphs, relational  # noqa: F401
+from . import graphs, relational, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
