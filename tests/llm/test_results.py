@@ -186,7 +186,7 @@ def test_kneser_ney_sums_to_one_and_prefers_clean_text(spark):
     half = labels[labels.doc_id % 2 == 0]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     trusted = spark.createDataFrame(half[half.quality == 1][["doc_id"]])
-    model = kneser_ney.train(docs.join(trusted, "doc_id", "left_semi"))
+    model = kneser_ney.train(docs.join(trusted, "doc_id", "left_semi"))[0]
     sums = np.exp(model.logs.astype(float)).reshape(-1, kneser_ney.SYMBOLS).sum(axis=1)
     assert np.allclose(sums, 1, atol=1e-4)
     got = kneser_ney.judge_quality(docs, trusted).toPandas().set_index("doc_id").keep
@@ -198,7 +198,7 @@ def test_kneser_ney_sums_to_one_and_prefers_clean_text(spark):
 
 def test_trigram_counts(spark):
     texts = ["abcabc", "é", "a" * 70_000]
-    got = {(r.first, r.second, r.third): r.n for r in kneser_ney.count_trigrams(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    got = {(r.first, r.second, r.third): r.n for r in kneser_ney.count_trigrams(spark.createDataFrame([(t, 1) for t in texts], "text string, half int")).collect()}
     want = Counter()
     for t in texts:
         s = [10, 10, *(b % 128 for b in t.encode())]
