@@ -164,13 +164,13 @@ def src_20_json_projection(spark, d):
     return table(spark, d, "events").groupBy("event_type", (props["k"] % 3).alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("with recursive e as (select user_id as key, epoch(ts)::bigint as \"at\", event_id as id, row_number() over (partition by user_id order by epoch(ts)::bigint, event_id) as rn from events), f as (select key, \"at\", id, rn, \"at\" + 86400 as reset, 1::bigint as hits from e where rn = 1 union all select e.key, e.\"at\", e.id, e.rn, case when f.reset <= e.\"at\" then e.\"at\" + 86400 else f.reset end, case when f.reset <= e.\"at\" then 1 else f.hits + 1 end from f join e on e.key = f.key and e.rn = f.rn + 1) select key, \"at\", id, hits, hits <= 3 as allowed from f")
+@query("with recursive e as (select user_id as key, floor(epoch(ts))::bigint as \"at\", event_id as id, row_number() over (partition by user_id order by floor(epoch(ts))::bigint, event_id) as rn from events), f as (select key, \"at\", id, rn, \"at\" + 86400 as reset, 1::bigint as hits from e where rn = 1 union all select e.key, e.\"at\", e.id, e.rn, case when f.reset <= e.\"at\" then e.\"at\" + 86400 else f.reset end, case when f.reset <= e.\"at\" then 1 else f.hits + 1 end from f join e on e.key = f.key and e.rn = f.rn + 1) select key, \"at\", id, hits, hits <= 3 as allowed from f")
 def st_01_fixed_window_counter(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
     return state.fixed_window_counter(e, 86_400, 3)
 
 
-@query("with l as (select user_id as key, max(epoch(ts)::bigint) as \"at\" from events group by 1) select key, \"at\" from l where \"at\" > (select max(\"at\") from l) - 43200 order by \"at\" desc, key limit 64")
+@query("with l as (select user_id as key, max(floor(epoch(ts))::bigint) as \"at\" from events group by 1) select key, \"at\" from l where \"at\" > (select max(\"at\") from l) - 43200 order by \"at\" desc, key limit 64")
 def st_02_live_entries(spark, d):
     return state.live_entries(table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at")), 43_200, 64)
 
