@@ -150,14 +150,16 @@ def plan_best_fit(counts: Mapping[int, int], capacity: int) -> list[tuple[int, i
     return runs
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, rows_per_slice: int = 2_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, rows_per_slice: int | None = None) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset; no sequence exceeds the capacity.
 
     Ranks within a length are counted in hashed slices of bounded size, so a length that most pieces share is not one
-    task's work. What is broadcast, the slices of each length and the plan, depends on the capacity only.
+    task's work; by default a slice has the square root of all pieces, so neither the rows of a slice nor the slices of a
+    length are many. What is broadcast, the slices of each length and the plan, depends on the capacity only.
     """
     spark, columns = pieces.sparkSession, pieces.columns
     by_length = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    rows_per_slice = rows_per_slice or max(500, math.isqrt(sum(by_length.values())))
     runs = plan_best_fit(by_length, capacity)
     plan = spark.createDataFrame(runs, "length long, from_rank long, to_rank long, each long, first_sequence long, at long")
     slices = spark.createDataFrame([(n, math.ceil(c / rows_per_slice)) for n, c in by_length.items()], "length long, slices int")
