@@ -166,31 +166,34 @@ def _ones(count: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Spanning forest of links that arrive in pieces, nearer ones first within a piece."""
+    """Spanning forest of links that arrive in pieces, nearer ones first within a piece; rows of one label are joined from the start."""
 
-    def __init__(self, n: int):
-        self.root, self.links = np.arange(n), []
+    def __init__(self, labels: np.ndarray):
+        first, at = np.unique(labels, return_index=True, return_inverse=True)[1:]
+        self.root, self.links = first[at], []
 
     def _settle(self) -> None:
         while (self.root != (up := self.root[self.root])).any():
             self.root = up
 
-    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Which of the links the forest has taken."""
         order = np.argsort(distance, kind="stable")
-        i, j, distance = i[order], j[order], distance[order]
+        taken = np.zeros(len(i), bool)
         while True:
-            a, b = self.root[i], self.root[j]
+            a, b = self.root[i[order]], self.root[j[order]]
             apart = a != b
-            i, j, distance, a, b = (x[apart] for x in (i, j, distance, a, b))
-            if not len(i):
-                return
+            order, a, b = order[apart], a[apart], b[apart]
+            if not len(order):
+                return taken
             # Each component's nearest link leaves it for another, so the number of components at least halves.
             first = np.unique(np.concatenate([a, b]), return_index=True)[1] % len(a)
             for at in np.unique(first).tolist():
                 x, y = self._find(a[at]), self._find(b[at])
                 if x != y:
                     self.root[max(x, y)] = min(x, y)
-                    self.links.append((i[at], j[at], distance[at]))
+                    taken[order[at]] = True
+                    self.links.append((i[order[at]], j[order[at]], distance[order[at]]))
             self._settle()
 
     def _find(self, x: int) -> int:
@@ -199,12 +202,30 @@ class Forest:
         return x
 
 
-def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, group_rows: int = 4_096) -> DataFrame:
+class Pairs:
+    """Which rows have been tested against which nodes."""
+
+    def __init__(self, node: np.ndarray, tested: pa.Array):
+        many = tested.value_lengths().to_numpy(zero_copy_only=False)
+        others = tested.flatten().to_numpy()
+        names, number = np.unique(np.concatenate([node, others]), return_inverse=True)
+        self.many, self.number = len(names), number[: len(node)]
+        self.keys = np.unique(np.repeat(np.arange(len(node)), many) * self.many + number[len(node) :])
+
+    def hold(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.isin(i * self.many + self.number[j], self.keys)
+
+
+def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, group_rows: int = 4_096, forests: int = 1) -> DataFrame:
     """(a, b, distance): links between ``nodes`` (node, fp) that agree on a key table and lie within ``radius``.
 
-    All links are found; those of each group of a key are handed on as a spanning forest. A key with more than
-    ``group_rows`` rows is cut into parts that meet pairwise in groups of their own, so no task holds a whole hot key.
+    All links are found; those of each group of a key are handed on as ``forests`` spanning forests that share no link. A key
+    with more than ``group_rows`` rows is cut into parts that meet pairwise in groups of their own, so no task holds a whole
+    hot key. Nodes may also have ``component`` and ``tested`` (array of nodes): nothing links within a component, nor a node
+    to one that it has been tested against.
     """
+    known = [c for c in ("component", "tested") if c in nodes.columns]
+    nodes = nodes.select("node", "fp", *known)
     tables = [np.array(t) for t in tables]
     width = max(int(t.max()) for t in tables) + 1
 
@@ -218,17 +239,18 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
                 packed = np.zeros((n, 8), np.uint8)
                 cut = np.packbits(bits[:, at], axis=1)[:, :8]
                 packed[:, : cut.shape[1]] = cut
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(packed.view("<i8")[:, 0].copy()), batch.column(0), batch.column(1)], names=["number", "key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(packed.view("<i8")[:, 0].copy()), *batch.columns], names=["number", "key", *batch.schema.names])
 
     assert width <= 64 * 64 and all(len(t) <= 64 for t in tables)
-    keyed = nodes.mapInArrow(key, "number int, key long, node long, fp binary")
+    fields = "number int, key long, node long, fp binary" + ", component long, tested array<long>" * bool(known)
+    keyed = nodes.mapInArrow(key, fields)
     many = keyed.groupBy("number", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     parts = F.ceil(F.col("rows") / F.lit(group_rows)).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = (
         keyed.join(many.select("number", "key", parts.alias("parts")), ["number", "key"])
         .withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("number", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "fp")
+        .select("number", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "fp", *known)
     )
     by = ["number", "key", "low", "high"]
 
@@ -250,11 +272,21 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
             ends = np.repeat(bounds[1:], np.diff(bounds))
             node = rows.column(4).to_numpy()[:keep]
             fps = np.frombuffer(b"".join(rows.column(5).slice(0, keep).to_pylist()), ">u8").reshape(keep, -1).astype(np.uint64)
-            forest = Forest(keep)
+            component = rows.column(6).to_numpy()[:keep] if known else node
+            tested = Pairs(node, rows.column(7).slice(0, keep)) if known else None
+            stack = [Forest(component) for _ in range(forests)]
             for i, j in close_pairs(fps, ends, radius):
-                forest.add(i, j, np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64))
-            if forest.links:
-                i, j, distance = np.array(forest.links).T
+                if known:
+                    left = component[i] != component[j]
+                    i, j = i[left], j[left]
+                    left = ~tested.hold(i, j)
+                    i, j = i[left], j[left]
+                distance = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
+                for forest in stack:
+                    left = ~forest.add(i, j, distance)
+                    i, j, distance = i[left], j[left], distance[left]
+            if links := [link for forest in stack for link in forest.links]:
+                i, j, distance = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(distance.astype(np.int32))], names=["a", "b", "distance"])
 
         for batch in batches:
@@ -319,8 +351,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, rec
     """(doc_id, fp, component_id) where documents link at a Jaccard similarity of k-word shingle sets of ``similarity`` or more.
 
     SimHash proposes: the bits of two sets of that similarity differ with a known probability, from which the bands,
-    the number of bits and the radius follow, for a chance of ``recall`` at the threshold itself and more above it. The links
-    of the spanning forests, nearest first, are then held against the true shingle sets. Cases as simhash_components().
+    the number of bits and the radius follow, for a chance of ``recall`` at the threshold itself and more above it. Proposals are
+    then held against the true shingle sets, until no untested one is left between groups. Cases as simhash_components().
     """
     cosine = 2.0 * similarity / (1.0 + similarity)
     flip = math.acos(cosine) / math.pi
@@ -330,12 +362,39 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, rec
     radius = math.ceil(bits * flip + 2.5 * math.sqrt(bits * flip * (1.0 - flip)))
     prints = materialise(fingerprints(docs, k, words, repeats=False), "prints")
     nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"), "nodes")
-    links = materialise(close_links(nodes, tables, radius).select("a", "b").distinct(), "proposed")
-    return label(prints, _verified(docs, links, k, similarity), nodes)
+    return label(prints, verified_links(docs, nodes, tables, radius, k, similarity), nodes)
+
 
+def verified_links(docs: DataFrame, nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, k: int, similarity: float) -> DataFrame:
+    """(a, b): links of true similarity that join all ``nodes`` (node, fp) which the links of close_links() with that similarity join.
 
-def _verified(docs: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The ``links`` whose documents' shingle sets have the similarity."""
+    A forest of proposals may hold a false link in place of a true one. So after each round, nodes that proposals join but
+    true links do not are proposed again, in more forests of the links not yet tested, until no such link is left.
+    """
+    active, good, bad, forests = nodes, None, None, 1
+    while True:
+        links = close_links(active, tables, radius, forests=forests).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        checked = materialise(_checked(docs, materialise(links.distinct(), "proposed"), k, similarity), "checked")
+        true, false = checked.where("good").select("a", "b"), checked.where("not good").select("a", "b")
+        good, bad = (true, false) if good is None else (good.union(true), bad.union(false))
+        if false.isEmpty():
+            return good
+        found = components(good).withColumnRenamed("component", "mine")
+        reach = good.union(false)
+        wide = reach.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components(reach).withColumnRenamed("component", "reach"), "node", "left").join(found, "node", "left")
+        wide = materialise(wide.select("node", F.coalesce("reach", "node").alias("reach"), F.coalesce("mine", "node").alias("component")), "reach")
+        split = wide.groupBy("reach").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        wide = semi_join_checked(wide, split, "reach").select("node", "component")
+        tested = bad.union(bad.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tested"))
+        active = nodes.join(wide, "node").join(tested, "node", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<long>")))
+        active = materialise(active, "active")
+        if active.isEmpty():
+            return good
+        forests = min(8 * forests, 4_096)
+
+
+def _checked(docs: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The ``links`` (a, b) with ``good``: the documents' shingle sets have the similarity."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,14 +408,14 @@ def _verified(docs: DataFrame, links: DataFrame, k: int, similarity: float) -> D
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(len(x) + len(y) == 0 or shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     named = semi_join_checked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), ends, "doc_id")
     shingles = materialise(named.mapInArrow(sets, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
     first = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, good boolean")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

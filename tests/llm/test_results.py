@@ -282,3 +282,19 @@ def test_pipeline_against_brute_force(spark):
     for doc_id, part in packed.sort_values("piece").groupby("doc_id"):
         assert [x for ids in part.ids for x in ids] == [*encode(after[doc_id].text, add_special_tokens=False).ids, 2]
     assert set(packed.doc_id) == set(after)
+
+
+def test_a_false_link_does_not_replace_a_true_one(spark):
+    # Documents of 20 shingles: 2 and 3 are like 1 alone, but have the nearest fingerprints.
+    def text(words):
+        return " ".join(f"w{x}" for x in words)
+
+    docs = spark.createDataFrame([(1, text(range(24))), (2, text([*range(2, 24), 50])), (3, text([*range(-2, 22)]))], "doc_id long, text string")
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text.encode(), 5).tolist()) for r in docs.collect()}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in ((1, 2), (1, 3), (2, 3))}
+    assert like[1, 2] >= 0.8 and like[1, 3] >= 0.8 > like[2, 3]
+    nodes = spark.createDataFrame([(1, bytes([0b11110000] + [0] * 7)), (2, bytes([0b11] + [0] * 7)), (3, bytes([0b1] + [0] * 7))], "node long, fp binary")
+    forest = simhash.close_links(nodes, [list(range(40, 64))], 12).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in forest} == {(1, 3), (2, 3)}  # the true link 1-2 is not among them
+    links = simhash.verified_links(docs, nodes, [list(range(40, 64))], 12, 5, 0.8)
+    assert {r.node: r.component for r in simhash.components(links).collect()} == {2: 1, 3: 1}
