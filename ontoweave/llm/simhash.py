@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +24,8 @@ from .common import bounded_batches, materialise, semi_join_checked, table
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = 64
+#: Sets of at most so many shingles are compared exactly: the bits of small sets of one similarity differ more often.
+SHORT = 32
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -62,18 +65,28 @@ def fingerprint(hashes: np.ndarray, words: int = 1, at_once: int = 1 << 15) -> b
     return np.packbits(2 * totals > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, k: int, words: int = 1, repeats: bool = True) -> DataFrame:
-    """(doc_id, fp) of every document's whole text; texts are read where they are, without a shuffle."""
+def fingerprints(docs: DataFrame, k: int, words: int = 1, repeats: bool = True, upto: int = 0) -> DataFrame:
+    """(doc_id, fp) of every document's whole text; texts are read where they are, without a shuffle.
+
+    With ``upto`` there is a third column, ``shingles``: the sorted distinct hashes of a text that has at most so many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, sets = [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py() or b"", k)
-                made.append(fingerprint(hashes if repeats else np.unique(hashes), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "fp"])
+                if not repeats:
+                    hashes = np.unique(hashes)
+                made.append(fingerprint(hashes, words))
+                if upto:
+                    some = np.unique(hashes)
+                    sets.append(some.tobytes() if len(some) <= upto else None)
+            columns = [batch.column(0), pa.array(made, pa.binary()), *[pa.array(sets, pa.binary())] * bool(upto)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shingles"][: len(columns)])
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).mapInArrow(run, "doc_id long, fp binary")
+    fields = "doc_id long, fp binary" + ", shingles binary" * bool(upto)
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).mapInArrow(run, fields)
 
 
 def exact_keys(bits: int, radius: int, rows: int, most: float = 8.0) -> list[list[int]]:
@@ -99,6 +112,43 @@ def banded_keys(rows: int, flip: float, recall: float, bucket: float = 64.0) ->
     return [list(range(i * width, (i + 1) * width)) for i in range(bands)]
 
 
+def flip_rate(shared: int, first: int, second: int) -> float:
+    """Chance that a fingerprint bit differs between two sets with ``shared`` hashes in common, ``first`` and ``second`` of their own."""
+
+    def chances(n: int) -> np.ndarray:
+        return np.exp([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2.0) for i in range(n + 1)])
+
+    def set_bit(own: int) -> np.ndarray:
+        over = np.append(np.cumsum(chances(own)[::-1])[::-1], 0.0)  # over[i]: at least i of the own hashes have the bit
+        return over[np.clip((shared + own) // 2 + 1 - np.arange(shared + 1), 0, own + 1)]
+
+    x, y = set_bit(first), set_bit(second)
+    return float((chances(shared) * (x * (1.0 - y) + y * (1.0 - x))).sum())
+
+
+@lru_cache
+def largest_flip(above: int, similarity: float) -> float:
+    """The largest flip_rate() of two sets of more than ``above`` hashes and of the similarity; it falls with the size."""
+    most = math.acos(2.0 * similarity / (1.0 + similarity)) / math.pi
+    for shared in range(math.ceil(similarity * (above + 1)), 3 * above):
+        apart = math.floor(shared / similarity + 1e-9) - shared
+        for first in range(apart // 2 + 1):
+            if shared + first > above:
+                most = max(most, flip_rate(shared, first, apart - first))
+    return most
+
+
+def proposal_plan(rows: int, flip: float, recall: float) -> tuple[list[list[int]], int, int]:
+    """Bands, words of 64 bits and radius that together lose at most 1 - ``recall`` of the pairs whose bits differ with ``flip``."""
+    tables = banded_keys(rows, flip, 1.0 - 0.9 * (1.0 - recall))
+    words = -(-sum(map(len, tables)) // 64)
+    bits = 64 * words
+    n = np.arange(bits + 1)
+    logs = np.array([math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) for i in n.tolist()])
+    beyond = 1.0 - np.cumsum(np.exp(logs + n * math.log(flip) + (bits - n) * math.log(1.0 - flip)))
+    return tables, words, int(np.argmax(beyond <= 0.1 * (1.0 - recall)))
+
+
 def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, at_once: int = 8_192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (i, j), i < j < ends[i], whose rows of ``fps`` (n, words) differ in at most ``radius`` bits, by pieces.
 
@@ -202,6 +252,117 @@ class Forest:
         return x
 
 
+def cells(keyed: DataFrame, group_rows: int) -> DataFrame:
+    """``keyed`` (number, key, node, ...) by (number, key, low, high), in sorted partitions: keys of one row are left out, and those
+    of more than ``group_rows`` rows are cut into parts of which each pair meets."""
+    rest = [c for c in keyed.columns if c not in ("number", "key")]
+    many = keyed.groupBy("number", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    parts = F.ceil(F.col("rows") / F.lit(group_rows)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = (
+        keyed.join(many.select("number", "key", parts.alias("parts")), ["number", "key"])
+        .withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("number", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), *rest)
+    )
+    by = ["number", "key", "low", "high"]
+    return dealt.repartition(*by).sortWithinPartitions(*by)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows of cells(), some thousand rows at a time, with the end of each row's group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush(final: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        nonlocal held, size
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        rows = rows[0] if rows else held[0]
+        groups = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in range(4)])
+        starts = np.flatnonzero(np.concatenate([[True], (groups[:, 1:] != groups[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, np.int64)
+        keep = rows.num_rows if final or not len(starts) else int(starts[-1])  # the last group may go on
+        held, size = ([rows.slice(keep)], rows.num_rows - keep) if keep < rows.num_rows else ([], 0)
+        if keep:
+            bounds = np.append(starts[starts < keep], keep)
+            yield rows.slice(0, keep), np.repeat(bounds[1:], np.diff(bounds))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= LANES * LANES and held:
+            yield from flush(False)
+    if held:
+        yield from flush(True)
+
+
+def similar_pairs(sets: list[np.ndarray], ends: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, rows after i in its group whose sets have the similarity to that of row i), by an inverted index."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat, group = np.concatenate(sets), ends[owner]
+    order = np.lexsort((owner, flat, group))
+    flat, group, rows = flat[order], group[order], owner[order]
+    last = np.flatnonzero(np.append((flat[1:] != flat[:-1]) | (group[1:] != group[:-1]), True))
+    until = last[np.searchsorted(last, np.arange(len(flat)))] + 1
+    spans = np.argsort(rows, kind="stable")
+    upto = np.cumsum(sizes)
+    for i in range(len(sets)):
+        at = spans[upto[i] - sizes[i] : upto[i]]
+        at = at[until[at] > at + 1]
+        if len(at):
+            shared = np.bincount(np.concatenate([rows[p + 1 : q] for p, q in zip(at.tolist(), until[at].tolist(), strict=True)]) - i)
+            j = np.flatnonzero(shared)
+            n = shared[j]
+            yield i, i + j[n >= similarity * (sizes[i] + sizes[i + j] - n)]
+
+
+def short_links(nodes: DataFrame, similarity: float, group_rows: int = 4_096, hot_rows: int = 1_000) -> DataFrame:
+    """(a, b): links that join exactly the ``nodes`` (node, shingles: distinct hashes) that links of the similarity join.
+
+    Sets of the similarity share a hash among the first n - ceil(similarity * n) + 1 of their n in any one order of the hashes.
+    Those of over ``hot_rows`` sets stand last in it, so common passages are seldom keys.
+    """
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["key"])
+
+    often = nodes.select("shingles").mapInArrow(single, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    often = sorted((r.key, r.n) for r in often.orderBy(F.desc("n")).limit(100_000).collect())
+    hot = nodes.sparkSession.sparkContext.broadcast((np.array([k for k, _ in often], np.int64), np.array([n for _, n in often] + [0], np.int64)))
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = hot.value
+        for batch in batches:
+            at, keys = [], []
+            for row, data in enumerate(batch.column(1).to_pylist()):
+                some = np.frombuffer(data, np.int64)
+                if len(some):
+                    place = np.searchsorted(names, some)
+                    known = np.append(names, 0)[place] == some
+                    rank = np.where(known & (place < len(names)), counts[place], 0)
+                    first = some[np.lexsort((some, rank))][: len(some) - math.ceil(similarity * len(some) - 1e-9) + 1]
+                    at.append(np.full(len(first), row))
+                    keys.append(first)
+            if at:
+                at = pa.array(np.concatenate(at))
+                columns = [pa.array(np.zeros(len(at), np.int32)), pa.array(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["number", "key", "node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in groups_of(batches):
+            node = rows.column(4).to_numpy()
+            forest = Forest(node)
+            for i, j in similar_pairs([np.frombuffer(x, np.int64) for x in rows.column(5).to_pylist()], ends, similarity):
+                forest.add(np.full(len(j), i), j, np.zeros(len(j), np.int64))
+            if forest.links:
+                i, j, _ = np.array(forest.links).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    keyed = nodes.select("node", "shingles").mapInArrow(key, "number int, key long, node long, shingles binary")
+    return cells(keyed, group_rows).mapInArrow(compare, "a long, b long")
+
+
 class Pairs:
     """Which rows have been tested against which nodes."""
 
@@ -244,36 +405,13 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
     assert width <= 64 * 64 and all(len(t) <= 64 for t in tables)
     fields = "number int, key long, node long, fp binary" + ", component long, tested array<long>" * bool(known)
     keyed = nodes.mapInArrow(key, fields)
-    many = keyed.groupBy("number", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    parts = F.ceil(F.col("rows") / F.lit(group_rows)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cells = (
-        keyed.join(many.select("number", "key", parts.alias("parts")), ["number", "key"])
-        .withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("number", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "fp", *known)
-    )
-    by = ["number", "key", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
-            rows = rows[0] if rows else held[0]
-            groups = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in range(4)])
-            starts = np.flatnonzero(np.concatenate([[True], (groups[:, 1:] != groups[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, np.int64)
-            keep = rows.num_rows if final or not len(starts) else int(starts[-1])  # the last group may go on
-            held, size = ([rows.slice(keep)], rows.num_rows - keep) if keep < rows.num_rows else ([], 0)
-            if not keep:
-                return
-            bounds = np.append(starts[starts < keep], keep)
-            ends = np.repeat(bounds[1:], np.diff(bounds))
-            node = rows.column(4).to_numpy()[:keep]
-            fps = np.frombuffer(b"".join(rows.column(5).slice(0, keep).to_pylist()), ">u8").reshape(keep, -1).astype(np.uint64)
-            component = rows.column(6).to_numpy()[:keep] if known else node
-            tested = Pairs(node, rows.column(7).slice(0, keep)) if known else None
+        for rows, ends in groups_of(batches):
+            node = rows.column(4).to_numpy()
+            fps = np.frombuffer(b"".join(rows.column(5).to_pylist()), ">u8").reshape(len(node), -1).astype(np.uint64)
+            component = rows.column(6).to_numpy() if known else node
+            tested = Pairs(node, rows.column(7)) if known else None
             stack = [Forest(component) for _ in range(forests)]
             for i, j in close_pairs(fps, ends, radius):
                 if known:
@@ -289,16 +427,7 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
                 i, j, distance = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(distance.astype(np.int32))], names=["a", "b", "distance"])
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= LANES * LANES and held:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long, distance int")
+    return cells(keyed, group_rows).mapInArrow(compare, "a long, b long, distance int")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -350,19 +479,20 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFram
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """(doc_id, fp, component_id) where documents link at a Jaccard similarity of k-word shingle sets of ``similarity`` or more.
 
-    SimHash proposes: the bits of two sets of that similarity differ with a known probability, from which the bands,
-    the number of bits and the radius follow, for a chance of ``recall`` at the threshold itself and more above it. Proposals are
-    then held against the true shingle sets, until no untested one is left between groups. Cases as simhash_components().
+    Pairs with a set of at most SHORT shingles are found exactly, by short_links(). For others SimHash proposes: the bits of
+    two longer sets of that similarity differ at most with a known probability, from which the bands, the number of bits and
+    the radius follow, for a chance of ``recall`` at the threshold itself and more above it, whatever the number of rows.
+    Proposals are then held against the true shingle sets, until no untested one is left between groups. Cases as
+    simhash_components().
     """
-    cosine = 2.0 * similarity / (1.0 + similarity)
-    flip = math.acos(cosine) / math.pi
-    tables = banded_keys(docs.count(), flip, recall)
-    words = -(-sum(map(len, tables)) // 64)
-    bits = 64 * words
-    radius = math.ceil(bits * flip + 2.5 * math.sqrt(bits * flip * (1.0 - flip)))
-    prints = materialise(fingerprints(docs, k, words, repeats=False), "prints")
-    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"), "nodes")
-    return label(prints, verified_links(docs, nodes, tables, radius, k, similarity), nodes)
+    tables, words, radius = proposal_plan(docs.count(), largest_flip(SHORT, similarity), recall)
+    prints = materialise(fingerprints(docs, k, words, repeats=False, upto=math.floor(SHORT / similarity + 1e-9)), "prints")
+    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("shingles").alias("shingles")), "nodes")
+    prints, nodes = prints.select("doc_id", "fp"), nodes.select("node", "fp", "shingles")
+    short = materialise(short_links(nodes.where("shingles is not null"), similarity), "short").distinct()
+    long = nodes.where(F.col("shingles").isNull() | (F.octet_length("shingles") > 8 * SHORT)).select("node", "fp")
+    links = verified_links(docs, long, tables, radius, k, similarity).union(short)
+    return label(prints, links, nodes.select("node", "fp"))
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, k: int, similarity: float) -> DataFrame:

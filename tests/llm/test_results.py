@@ -298,3 +298,35 @@ def test_a_false_link_does_not_replace_a_true_one(spark):
     assert {tuple(sorted((r.a, r.b))) for r in forest} == {(1, 3), (2, 3)}  # the true link 1-2 is not among them
     links = simhash.verified_links(docs, nodes, [list(range(40, 64))], 12, 5, 0.8)
     assert {r.node: r.component for r in simhash.components(links).collect()} == {2: 1, 3: 1}
+
+
+def test_short_near_duplicates_are_all_found(spark):
+    rows = [(2 * i + part, " ".join(f"d{i}w{x}" for x in range(9 - part))) for i in range(150) for part in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")  # 4 of 5 shingles are shared
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert all(got[i] == i - i % 2 for i, _ in rows)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1_000])
+def test_short_links_against_brute_force(spark, hot_rows):
+    rng = np.random.default_rng(hot_rows)
+    sets = [np.unique(np.concatenate([np.arange(rng.integers(0, 30)), rng.integers(0, 60, rng.integers(0, 4))])) for _ in range(250)]
+    nodes = spark.createDataFrame([(i, x.astype(np.int64).tobytes()) for i, x in enumerate(sets)], "node long, shingles binary")
+    links = simhash.short_links(nodes, 0.8, group_rows=30, hot_rows=hot_rows)
+    got = {r.node: r.component for r in simhash.components(links).collect()}
+    label = list(range(len(sets)))
+    near = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x) and len(y) and (n := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - n)]
+    for _ in label:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    assert all(got.get(i, i) == x for i, x in enumerate(label))
+
+
+@pytest.mark.parametrize("rows", [1_000, 1_000_000, 10_000_000])
+def test_proposals_keep_their_recall_at_any_size(rows):
+    assert abs(simhash.flip_rate(4, 0, 1) - 0.1875) < 1e-9
+    tables, words, radius = simhash.proposal_plan(rows, simhash.largest_flip(simhash.SHORT, 0.8), 0.99)
+    for flip in (simhash.flip_rate(36, 0, 9), simhash.flip_rate(32, 4, 4), simhash.flip_rate(400, 50, 50)):
+        met = 1 - (1 - (1 - flip) ** len(tables[0])) ** len(tables)
+        differ = np.random.default_rng(1).binomial(64 * words, flip, 100_000)
+        assert met - (differ > radius).mean() >= 0.99
