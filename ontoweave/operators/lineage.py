@@ -7,17 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. A session on one machine that names none gets a temporary one of its own; on a cluster
+    that would be a folder of the driver alone, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="ontoweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    app = spark.sparkContext
+    if not app.master.startswith("local") or app.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if app.applicationId not in _OWN:
+        _OWN[app.applicationId] = tempfile.mkdtemp(prefix="ontoweave-")
+    return _OWN[app.applicationId]
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the shared folder and read back: a short plan that survives lost executors."""
+    """``df`` written once to the shared folder and read back: a short plan that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
