@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import settle as materialise
+from ..operators.lineage import shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="ontoweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["by_bytes", "materialise", "semi_join_checked", "shared_dir", "table"]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Later uses neither repeat the work above it nor depend on any single executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def semi_join_checked(big: DataFrame, small: DataFrame, key: str, max_rows: int = 1_000_000) -> DataFrame:
@@ -45,13 +32,15 @@ def semi_join_checked(big: DataFrame, small: DataFrame, key: str, max_rows: int
     return big.join(keys, key, "left_semi")
 
 
-def bounded_batches(texts: DataFrame, rows: int = 1_000) -> DataFrame:
-    """``texts`` for a Python operator that reads whole documents: Arrow batches of at most ``rows`` rows.
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces that end once the texts of a column come to ``most_bytes``.
 
-    Spark's default of 10,000 rows makes batches of many megabytes of text in each task. A smaller setting stays.
+    Spark itself bounds the bytes of the batches that it sends (spark.sql.execution.arrow.maxBytesPerBatch); this bounds
+    what a Python operator makes of them at once.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = texts.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
-    return texts
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(lengths) - lengths
+        starts = np.flatnonzero(np.diff(before // most_bytes, prepend=-1)) if batch.num_rows else [0]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)

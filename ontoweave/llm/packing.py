@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, table
+from .common import by_bytes, materialise, table
 
 class CachedTokenizer:
     """Ids of whole texts by a byte-level BPE file of ``tokenizers``; the ids of words met before come from a cache.
@@ -93,7 +93,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).ids
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             ids, rows, kept = batch.column(0), [], []
             for i, text in enumerate(batch.column(1)):
                 data = memoryview(encode(text.as_py() or "") + end)
@@ -112,7 +112,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def plan_best_fit(counts: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, semi_join_checked, table
+from .common import by_bytes, materialise, semi_join_checked, table
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = 64
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1, repeats: bool = True,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             made, sets = [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py() or b"", k)
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1, repeats: bool = True,
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shingles"][: len(columns)])
 
     fields = "doc_id long, fp binary" + ", shingles binary" * bool(upto)
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, fields)
 
 
 def exact_keys(bits: int, radius: int, rows: int, most: float = 8.0) -> list[list[int]]:
@@ -527,7 +527,7 @@ def _checked(docs: DataFrame, links: DataFrame, k: int, similarity: float) -> Da
     """The ``links`` (a, b) with ``good``: the documents' shingle sets have the similarity."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             made = [np.unique(shingle_hashes(t.as_py() or b"", k)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
 

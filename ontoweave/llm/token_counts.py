@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import by_bytes, table
 from .packing import byte_alphabet
 
 #: Added to a byte's symbol when it ends its word.
@@ -133,11 +133,11 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = word_pieces(path).count
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             got = [count(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (zip(*got, strict=True) if got else ([], [])))], names=["doc_id", "n_words", "n_tokens"])
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
 
 def default_vocabulary() -> str:

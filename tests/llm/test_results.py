@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -181,28 +182,86 @@ def test_components(spark):
     assert all(got.get(x, x) == y for x, y in label.items())
 
 
-def test_kneser_ney_sums_to_one_and_prefers_clean_text(spark):
-    table, labels = read("documents"), read("labels")
-    half = labels[labels.doc_id % 2 == 0]
+def plain_kneser_ney(texts, order=kneser_ney.ORDER):
+    """Chance of a symbol after others, by the recursion of Chen and Goodman on dictionaries."""
+    counts = [None] * order
+    full = Counter()
+    for t in texts:
+        s = ["<"] * (order - 1) + list(t) + [">"]
+        full.update(tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s)))
+    counts[order - 1] = full
+    for m in range(order - 1, 0, -1):
+        counts[m - 1] = Counter(g[1:] for g in counts[m])
+    tables = []
+    for level in counts:
+        n = Counter(level.values())
+        if n[1] and n[2] and n[3]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) for i in (1, 2, 3)]
+        else:
+            d = [0.5, 0.75, 0.75]
+        total, mass = Counter(), Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[min(c, 3) - 1]
+        tables.append((level, d, total, mass))
+
+    def chance(gram):
+        level, d, total, mass = tables[len(gram) - 1]
+        lower = chance(gram[1:]) if len(gram) > 1 else 1 / (len(level) + 1)
+        if gram[:-1] not in total:
+            return lower
+        c = level[gram]
+        return ((c - d[min(c, 3) - 1] if c else 0) + mass[gram[:-1]] * lower) / total[gram[:-1]]
+
+    def perplexity(text):
+        s = ["<"] * (order - 1) + list(text) + [">"]
+        logs = [math.log(chance(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))]
+        return math.exp(-sum(logs) / len(logs))
+
+    return chance, perplexity
+
+
+@pytest.mark.parametrize(("slots", "bits"), [(8, 64), (8, 1 << 20), (1 << 20, 1 << 20)])
+def test_perplexities_against_plain_kneser_ney(spark, slots, bits):
+    rng = random.Random(7)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = {"en": [text(60, "aab ") for _ in range(30)] + ["\0é\U0001f600"], "de": [text(50, "xyy.") for _ in range(20)]}
+    rows = [(t, lang) for lang, ts in texts.items() for t in ts]
+    number = lambda lang: 5 if lang == "en" else -(2**62)
+    counts = kneser_ney.count_runs(spark.createDataFrame([(t, number(lang)) for t, lang in rows], "text string, model long"))
+    models = kneser_ney.fit(counts)
+    asked = [*rows, ("", "en"), (None, "en"), ("zzz", "en"), ("abab\U0001f600", "en"), ("aab" * 300, "de"), ("a", "en")]
+    frame = spark.createDataFrame([(i, t, number(lang)) for i, (t, lang) in enumerate(asked)], "id int, text string, model long")
+    got = {r.id: r.cost for r in kneser_ney.score(frame, models, slots, bits).collect()}
+    plain = {lang: plain_kneser_ney(ts)[1] for lang, ts in texts.items()}
+    for i, (t, lang) in enumerate(asked):
+        assert got[i] is None if not t else math.isclose(math.exp(got[i]), plain[lang](t), rel_tol=1e-9), (t, lang)
+    chance, _ = plain_kneser_ney(texts["en"])
+    letters = {c for t in texts["en"] for c in t} | {">", "?"}
+    assert all(math.isclose(sum(chance((*ctx, c)) for c in letters), 1) for ctx in [(), ("a",), ("a", "b"), ("a", "a", "b", " "), ("<",) * 4])
+
+
+def test_quality_keeps_clean_documents(spark):
+    labels = read("labels")
+    half = labels[(labels.doc_id % 2 == 0) & (labels.quality == 1)]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    trusted = spark.createDataFrame(half[half.quality == 1][["doc_id"]])
-    model = kneser_ney.train(docs.join(trusted, "doc_id", "left_semi"))[0]
-    sums = np.exp(model.logs.astype(float)).reshape(-1, kneser_ney.SYMBOLS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    got = kneser_ney.judge_quality(docs, trusted).toPandas().set_index("doc_id").keep
+    got = kneser_ney.judge_quality(docs, spark.createDataFrame(half[["doc_id"]])).toPandas().set_index("doc_id").keep
     held_out = labels[labels.doc_id % 2 == 1]
     kept = held_out.assign(keep=got.reindex(held_out.doc_id).to_numpy()).groupby("quality").keep.mean()
-    assert kept[1] > 0.95 and kept[0] < 0.35
-    assert len(table) == len(got)
+    assert kept[1] > 0.95 and kept[0] < 0.25
+    assert len(read("documents")) == len(got)
 
 
-def test_trigram_counts(spark):
-    texts = ["abcabc", "é", "a" * 70_000]
-    got = {(r.first, r.second, r.third): r.n for r in kneser_ney.count_trigrams(spark.createDataFrame([(t, 1) for t in texts], "text string, half int")).collect()}
+def test_run_counts(spark):
+    texts = ["abcabcabc", "é", "", "a" * 3000, "a\U0001f600"]
+    got = {}
+    for r in kneser_ney.count_runs(spark.createDataFrame([(t, 1) for t in texts], "text string, model long")).collect():
+        got[tuple([(r.hi >> 21) & kneser_ney.MASK, r.hi & kneser_ney.MASK, *((r.lo >> b) & kneser_ney.MASK for b in (42, 21, 0))])] = r.n
     want = Counter()
-    for t in texts:
-        s = [10, 10, *(b % 128 for b in t.encode())]
-        want.update(zip(s, s[1:], s[2:]))
+    for t in filter(None, texts):
+        s = [kneser_ney.START] * 4 + [ord(c) + 1 for c in t] + [kneser_ney.END]
+        want.update(tuple(s[i - 4 : i + 1]) for i in range(4, len(s)))
     assert got == dict(want)
 
 
