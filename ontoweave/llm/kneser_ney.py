@@ -196,16 +196,17 @@ def shard_values(models: Models, slots: int, filter_bits: int) -> tuple[Lookup,
         for batch in batches:
             model, hi, lo = (batch.column(c).to_numpy() for c in range(3))
             keys = gram_keys(hi, lo, model).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(3), batch.column(4)], names=["key", "value", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(3).cast(pa.float32()), batch.column(4)], names=["key", "value", "weight"])
 
-    keyed = models.values.select("model", *GRAM, "value", "weight").mapInArrow(key, "key long, value double, weight long")
+    keyed = models.values.select("model", *GRAM, "value", "weight").mapInArrow(key, "key long, value float, weight long")
     slot = Window.partitionBy("slot").orderBy(F.desc("weight"), "key")
     ranked = keyed.withColumn("slot", F.col("key").bitwiseAND(F.lit(slots - 1))).withColumn("place", F.row_number().over(slot))
-    ranked = materialise(ranked.select("key", "value", "slot", (F.col("place") == 1).alias("hot")), "values")
-    hot = ranked.where("hot").select("key", "value", "slot").toArrow()  # at most ``slots`` rows
-    keys, values = np.zeros(slots, np.uint64), np.zeros(slots)
-    at = hot.column("slot").to_numpy()
-    keys[at], values[at] = hot.column("key").to_numpy().view(np.uint64), hot.column("value").to_numpy()
+    ranked = materialise(ranked.select("key", "value", (F.col("place") == 1).alias("hot")), "values")
+    hot = ranked.where("hot").select("key", "value").toArrow()  # at most ``slots`` rows
+    keys, values = np.zeros(slots, np.uint64), np.zeros(slots, np.float32)
+    found = hot.column("key").to_numpy().view(np.uint64)
+    at = found & np.uint64(slots - 1)
+    keys[at], values[at] = found, hot.column("value").to_numpy()
     cold = ranked.where("not hot").select("key", "value")
     bit = F.shiftright("key", 20).bitwiseAND(F.lit(filter_bits - 1))
     words = cold.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(key, 20) & {min(63, filter_bits - 1)} as int))")).alias("bits")).toArrow()
@@ -214,7 +215,7 @@ def shard_values(models: Models, slots: int, filter_bits: int) -> tuple[Lookup,
     return Lookup(keys, values, others), cold
 
 
-def score(texts: DataFrame, models: Models, slots: int = 1 << 20, filter_bits: int = 1 << 26, few: bool = True) -> DataFrame:
+def score(texts: DataFrame, models: Models, slots: int = 1 << 22, filter_bits: int = 1 << 26, few: bool = True) -> DataFrame:
     """(the columns of ``texts`` but text, cost): the mean negative log probability of a symbol of each row's whole text.
 
     ``texts`` (text, model, ...). Null and empty texts, and those whose model does not exist, have a null cost.
@@ -243,7 +244,7 @@ def score(texts: DataFrame, models: Models, slots: int = 1 << 20, filter_bits: i
             slot = (keys & np.uint64(len(hot.keys) - 1)).view(np.int64)
             hit = hot.keys.take(slot) == keys
             ends = before if m < ORDER - 1 else within
-            local[full] += np.add.reduceat(hot.values.take(slot) * (hit & ends), begins)
+            local[full] += np.add.reduceat(hot.values.take(slot) * (hit & ends), begins, dtype=np.float64)
             at = np.flatnonzero(ends & ~hit)
             bit = (keys[at] >> np.uint64(20)) & np.uint64(64 * len(hot.others) - 1)
             at = at[(hot.others.take((bit >> np.uint64(6)).view(np.int64)) >> (bit & np.uint64(63))) & np.uint64(1) > 0]
@@ -285,7 +286,7 @@ def _digest(docs: DataFrame) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(docs["lang"], F.lit("")), F.lit("\0"), F.coalesce(docs["text"], F.lit("")))))
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.0, high: float = 0.995, slots: int = 1 << 20, filter_bits: int = 1 << 26) -> DataFrame:
+def judge_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.0, high: float = 0.995, slots: int = 1 << 22, filter_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, lang, digest, perplexity, lowest, highest, keep) of every row of ``docs``; ``digest`` is that of lang and text.
 
     ``trusted``: doc_id of trusted documents; a null one counts for none. A null language is the language ''. Languages

@@ -106,8 +106,15 @@ def vectors(spark):
 def test_top_k_edges(spark):
     table = vectors(spark)
     got = topk.top_k_inner(table.where("vec_id in (0, 2, 3)"), table, k=3).toPandas().sort_values(["query_id", "rank"])
-    assert got[got.query_id == 0][["rank", "vec_id", "score"]].values.tolist() == [[1, 9, 2048 * 1024], [2, 1, 512 * 1024], [3, 2, 512 * 1024]]
+    assert got[got.query_id == 0][["rank", "vec_id", "score"]].values.tolist() == [[1, 11, 2**63 - 1], [2, 9, 2048 * 1024], [3, 1, 512 * 1024]]
     assert set(got.query_id) == {0, 2}
+    large = spark.createDataFrame([(0, [1.0, 0.0]), (1, [70000.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.25]), (3, [3e9, -3e9]), (3, [3e9, -3e9])], "vec_id long, embedding array<double>")
+    got = topk.top_k_inner(large.where("vec_id in (0, 2)"), large, k=2, block=2).toPandas().sort_values(["query_id", "rank"])
+    assert got[got.query_id == 0][["vec_id", "score"]].values.tolist() == [[3, 3072000000000 * 1024], [1, 71680000 * 1024]]
+    # Products of unbounded size decide; what no long holds counts as its limit.
+    huge = spark.createDataFrame([(0, [1e-3, -1e300]), (1, [2.0, 1e300]), (2, [1.0, 0.0]), (3, [4.0, 1.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k_inner(huge.where("vec_id = 0"), huge, k=3).toPandas().sort_values("rank")
+    assert got.vec_id.tolist() == [2, 1, 3] and got.score.tolist() == [1024, -(2**63), -(2**63)]
     assert topk.top_k_inner(table.limit(0), table, k=3).count() == 0
     assert topk.top_k_inner(table.limit(0), table.limit(0), k=3).count() == 0
 

@@ -49,13 +49,32 @@ def test_op2(spark):
 @given(st.lists(st.lists(st.integers(-5, 5), min_size=3, max_size=3), min_size=1, max_size=60), st.lists(st.integers(-5, 5), min_size=3, max_size=3), st.integers(1, 5))
 def test_threshold_walk_is_exact(rows, query, k):
     rows, query = np.array(rows, float), np.array(query, float)
-    found, scores = topk.threshold_top(rows, rows.argsort(axis=0, kind="stable").T, query, k)
+    found, scores, met = topk.threshold_top(rows, rows.argsort(axis=0, kind="stable").T, query, k)
+    assert len(found) <= met <= len(rows)
     best = np.sort(rows @ query)[::-1][:k]
     assert np.sort(scores)[::-1][: len(best)].tolist() == best.tolist()
     assert (rows[found] @ query == scores).all()
     assert set(np.flatnonzero(rows @ query >= best[-1])) <= set(found)
 
 
+def test_threshold_walk_stops_early_where_it_can(spark):
+    # Vectors of a few large components: the lists' heads hold the best rows.
+    rng = np.random.default_rng(4)
+    rows = np.round(rng.pareto(1.5, (4000, 8)) * 100)
+    query = rows[17]
+    found, scores, met = topk.threshold_top(rows, rows.argsort(axis=0, kind="stable").T, query, 5)
+    assert set(np.argsort(-(rows @ query), kind="stable")[:5]) <= set(found) and met < 0.5 * len(rows)
+    _, _, fewer = topk.threshold_top(rows, rows.argsort(axis=0, kind="stable").T, query, 5, floor=np.sort(rows @ query)[-2])
+    assert fewer <= met
+    table = spark.createDataFrame([(i, (r / 1024).tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = topk.top_k_inner(table.where("vec_id % 200 = 0"), table, 3, block=256, lane_rows=1000, lane_queries=7).toPandas()
+    assert (got.offered <= 2000).all() and got.scored.sum() < 0.8 * got.offered.sum()
+    for query_id, part in got.groupby("query_id"):
+        want = rows @ rows[query_id]
+        want[query_id] = -np.inf
+        assert part.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(len(rows)), -want))[:3].tolist()
+
+
 def test_op3_recall(spark):
     got = queries.QUERIES["op3_balanced_postings"](spark, SMALL).toPandas()
     table = read("embeddings")
@@ -236,7 +255,7 @@ def test_perplexities_against_plain_kneser_ney(spark, slots, bits):
     got = {r.id: r.cost for r in kneser_ney.score(frame, models, slots, bits).collect()}
     plain = {lang: plain_kneser_ney(ts)[1] for lang, ts in texts.items()}
     for i, (t, lang) in enumerate(asked):
-        assert got[i] is None if not t else math.isclose(math.exp(got[i]), plain[lang](t), rel_tol=1e-9), (t, lang)
+        assert got[i] is None if not t else math.isclose(math.exp(got[i]), plain[lang](t), rel_tol=1e-5), (t, lang)
     chance, _ = plain_kneser_ney(texts["en"])
     letters = {c for t in texts["en"] for c in t} | {">", "?"}
     assert all(math.isclose(sum(chance((*ctx, c)) for c in letters), 1) for ctx in [(), ("a",), ("a", "b"), ("a", "a", "b", " "), ("<",) * 4])
