@@ -1,10 +1,10 @@
 """Quality classifier: perplexity under interpolated modified Kneser-Ney models of trusted text, one for each language.
 
-The models count runs of five code points. Tasks count their own texts' runs, a shuffle adds them up, and every lower
+The models count runs of four code points. Tasks count their own texts' runs, a shuffle adds them up, and every lower
 order follows from the one above by continuation counts. Discounts, back-off weights and probabilities are windows and
 joins over these count tables, which are as large as the trusted text makes them and are never gathered in one place.
 
-The log probability of a document is a sum of one number for each run of one to five code points in it::
+The log probability of a document is a sum of one number for each run of one to four code points in it::
 
     log p(text) = symbols * log p(unknown) + sum over runs g of value(g)
     value(g) = log P(g) - log back(context of g) - log P(g without its first symbol) + log back(g as a context)
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, materialise, semi_join_checked, table
 
-ORDER = 5
+ORDER = 4  # 3 at least, and 6 at most
 BITS = 21  # of a symbol: a code point and one, so that 0 is no symbol
 MASK = (1 << BITS) - 1
 START, END = 0x110001, 0x110002
 GRAM = ["hi", "lo"]  # a run's symbols: the last three in lo, those before in hi
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 #: Joins with a row for each model are broadcast up to so many models.
 MOST_MODELS = 10_000
 
@@ -80,8 +80,9 @@ def count_runs(texts: DataFrame) -> DataFrame:
 
     def counted(model: int, pieces: list[np.ndarray]) -> pa.RecordBatch:
         s = np.concatenate(pieces)
-        lo = s[ORDER - 1 :] | s[ORDER - 2 : -1] << BITS | s[ORDER - 3 : -2] << 2 * BITS
-        hi = s[ORDER - 4 : -3] | s[: -ORDER + 1] << BITS
+        back = lambda m: s[ORDER - 1 - m : len(s) - m]
+        lo = back(0) | back(1) << BITS | back(2) << 2 * BITS
+        hi = sum((back(m) << BITS * (m - 3) for m in range(3, ORDER)), np.zeros_like(lo))
         whole = s[ORDER - 1 :] != START  # runs do not cross from one text into the next
         *_, keys = run_keys(s, np.uint64(0))
         order = np.argsort(keys[ORDER - 1 :][whole])
@@ -215,7 +216,7 @@ def shard_values(models: Models, slots: int, filter_bits: int) -> tuple[Lookup,
     return Lookup(keys, values, others), cold
 
 
-def score(texts: DataFrame, models: Models, slots: int = 1 << 22, filter_bits: int = 1 << 26, few: bool = True) -> DataFrame:
+def score(texts: DataFrame, models: Models, slots: int = 1 << 20, filter_bits: int = 1 << 26, few: bool = True) -> DataFrame:
     """(the columns of ``texts`` but text, cost): the mean negative log probability of a symbol of each row's whole text.
 
     ``texts`` (text, model, ...). Null and empty texts, and those whose model does not exist, have a null cost.
@@ -286,7 +287,7 @@ def _digest(docs: DataFrame) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(docs["lang"], F.lit("")), F.lit("\0"), F.coalesce(docs["text"], F.lit("")))))
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.0, high: float = 0.995, slots: int = 1 << 22, filter_bits: int = 1 << 26) -> DataFrame:
+def judge_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.0, high: float = 0.995, slots: int = 1 << 20, filter_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, lang, digest, perplexity, lowest, highest, keep) of every row of ``docs``; ``digest`` is that of lang and text.
 
     ``trusted``: doc_id of trusted documents; a null one counts for none. A null language is the language ''. Languages
