@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import settle
@@ -29,60 +28,71 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _greedy_groups(part: pd.DataFrame, allowed) -> list[set]:
-    """Blocks of nodes: the pairs of ``part`` in order, blocks merge when ``allowed(x, y)``."""
-    block: dict = {}
-    for a, b in zip(part["a"], part["b"], strict=True):
-        x, y = block.setdefault(a, {a}), block.setdefault(b, {b})
-        if x is not y and allowed(x, y):
-            if len(y) > len(x):
-                x, y = y, x
-            x |= y
-            for node in y:
-                block[node] = x
-    return list({id(x): x for x in block.values()}.values())
+def _first_for_both(edges: DataFrame) -> DataFrame:
+    """Edges (a, b, ord, ...) of blocks that come before all other edges of both their blocks."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("block"), "ord").groupBy("block").agg(F.min("ord").alias("first"))
+    left, right = ends.toDF("a", "first_a"), ends.toDF("b", "first_b")
+    return edges.join(left, "a").join(right, "b").where((F.col("ord") == F.col("first_a")) & (F.col("ord") == F.col("first_b"))).drop("first_a", "first_b")
 
 
-def complete_link(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(cluster, member): pairs (a, b, value), a < b, best first; blocks merge only if every cross pair reaches the threshold.
+def _renamed(edges: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edges with the blocks of ``moved`` (old, new) renamed, those within a block left out, and a before b."""
+    for end in ("a", "b"):
+        edges = edges.join(moved.toDF(end, "new"), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+    return edges.where("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
 
-    The greedy order matters only within a connected component, so components are merged side by side. Blocks of one
-    are left out; a cluster is named by its smallest member.
-    """
-    good = settle(pairs.where(F.col("value") >= threshold).select("a", "b", "value"), "good")
-    parts = good.join(connected_components(good).toDF("a", "component"), "a")
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["value", "a", "b"], ascending=[False, True, True])
-        known = set(zip(part["a"], part["b"], strict=True))
-        cross = lambda x, y: all((min(i, j), max(i, j)) in known for i in x for j in y)
-        rows = [(min(g), m) for g in _greedy_groups(part, cross) if len(g) > 1 for m in sorted(g)]
-        return pd.DataFrame(rows, columns=["cluster", "member"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return parts.groupBy("component").applyInPandas(merge, f"cluster {kind}, member {kind}")
 
+def complete_link(pairs: DataFrame, threshold: float, max_rounds: int = 200) -> DataFrame:
+    """(cluster, member): pairs (a, b, value), best first; blocks merge only if every cross pair reaches the threshold.
 
-def veto_merge(links: DataFrame, unique_prefixes: Sequence[str]) -> DataFrame:
+    Two blocks may merge once their edge is the first of both, whatever goes on elsewhere, so each round merges many. Edges
+    between blocks carry the number of good pairs across; blocks whose pairs are not all good never come to be mergeable, as
+    blocks only grow, so such an edge is done when its turn comes. Each round is joins and aggregations over the edges that
+    are left. Equal values go by the smaller names. Blocks of one are left out; a cluster is named by its smallest member.
+    """
+    good = pairs.where((F.col("value") >= threshold) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "value")
+    good = good.groupBy("a", "b").agg(F.max("value").alias("value"))
+    edges = settle(good.select("a", "b", F.struct((-F.col("value")).alias("v"), F.col("a").alias("x"), F.col("b").alias("y")).alias("ord"), F.lit(1).cast("long").alias("good")), "edges")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+    blocks = settle(nodes.select("member", F.col("member").alias("block")), "blocks")
+    for _ in range(max_rounds):
+        if edges.isEmpty():
+            named = blocks.withColumn("cluster", F.min("member").over(Window.partitionBy("block"))).withColumn("n", F.count("*").over(Window.partitionBy("block")))
+            return named.where("n > 1").select("cluster", "member")
+        size = blocks.groupBy("block").agg(F.count("*").alias("size"))
+        # An edge whose good pairs are not all pairs across can be left out at once.
+        whole = edges.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+        open_ = settle(whole.where(F.col("good") == F.col("na") * F.col("nb")).select("a", "b", "ord", "good"), "edges")
+        moved = settle(_first_for_both(open_).select(F.col("b").alias("old"), F.col("a").alias("new")), "moved")
+        blocks = settle(blocks.join(moved.toDF("block", "new"), "block", "left").select("member", F.coalesce("new", "block").alias("block")), "blocks")
+        edges = settle(_renamed(open_, moved).groupBy("a", "b").agg(F.min("ord").alias("ord"), F.sum("good").alias("good")), "edges")
+    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
+
+
+def veto_merge(links: DataFrame, unique_prefixes: Sequence[str], max_rounds: int = 200) -> DataFrame:
     """(node, entity): links (a, b, ord) merge in order unless that would join two ids of one unique prefix.
 
-    Which merges are vetoed depends on the order, but only within a weak component: components run side by side.
+    Two blocks may decide on their link once it is the first of both: then no earlier link can change either. A round joins
+    the deciding blocks with their ids of unique prefixes; a refused link is dropped, as blocks only grow. Equal ``ord`` go by the
+    smaller names. Entities are named by their smallest node.
     """
-    unique = set(unique_prefixes)
-    rows = settle(links.select("a", "b", "ord"), "links")
-    parts = rows.join(connected_components(rows).toDF("a", "component"), "a")
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ord", "a", "b"])
-
-        def fits(x: set, y: set) -> bool:
-            ids = lambda nodes, p: {n for n in nodes if n.split(":", 1)[0] == p}
-            return all(not (i := ids(x, p)) or not (j := ids(y, p)) or i == j for p in unique)
-
-        groups = _greedy_groups(part, fits)
-        return pd.DataFrame([(n, min(g)) for g in groups for n in sorted(g)], columns=["node", "entity"])
-
-    return parts.groupBy("component").applyInPandas(merge, "node string, entity string")
+    rows = links.where("a is not null and b is not null").select("a", "b", F.struct("ord", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).alias("ord"))
+    edges = settle(rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ord").groupBy("a", "b").agg(F.min("ord").alias("ord")), "edges")
+    nodes = rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    blocks = settle(nodes.select("node", F.col("node").alias("block")), "blocks")
+    prefix = F.substring_index("node", ":", 1)
+    for _ in range(max_rounds):
+        if edges.isEmpty():
+            return blocks.select("node", F.min("node").over(Window.partitionBy("block")).alias("entity"))
+        # A block holds one id of each unique prefix at most: equal ids are the same node.
+        held = blocks.withColumn("prefix", prefix).where(F.col("prefix").isin(*unique_prefixes)).select("block", "prefix", "node")
+        asked = settle(_first_for_both(edges), "asked")
+        clash = asked.join(held.toDF("a", "prefix", "i"), "a").join(held.toDF("b", "prefix", "j"), ["b", "prefix"]).where("i <> j").select("a", "b").distinct()
+        moved = settle(asked.join(clash, ["a", "b"], "left_anti").select(F.col("b").alias("old"), F.col("a").alias("new")), "moved")
+        blocks = settle(blocks.join(moved.toDF("block", "new"), "block", "left").select("node", F.coalesce("new", "block").alias("block")), "blocks")
+        left = edges.join(clash, ["a", "b"], "left_anti")
+        edges = settle(_renamed(left, moved).groupBy("a", "b").agg(F.min("ord").alias("ord")), "edges")
+    raise RuntimeError(f"entities did not settle in {max_rounds} rounds")
 
 
 def stable_cluster_id(kind: str, process: Column, members: Column) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
+WORD = "[\\p{L}\\p{N}]+"
+
 
 def match_rank(query: str, identifier: Column, label: Column) -> Column:
     """0 for the exact id, 1 for the exact label, 2 for a label's beginning, 3 for a part of one, else null; case is ignored."""
@@ -17,26 +23,164 @@ def match_rank(query: str, identifier: Column, label: Column) -> Column:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, pos) for each word of docs (doc_id, text)."""
-    terms = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0)
+    terms = F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)
     return docs.select("doc_id", F.posexplode(terms).alias("pos", "term"))
 
 
+class Index(NamedTuple):
+    """Postings (doc_id, field, term, positions) and sizes (doc_id, field, length) of documents with several text fields."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+
+def build_index(docs: DataFrame, fields: Sequence[str]) -> Index:
+    """The index of docs (doc_id, one text column for each field), written once; a null field has no words."""
+    listed = F.array(*(F.struct(F.lit(f).alias("field"), F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(WORD), 0).alias("words")) for f in fields))
+    rows = docs.select("doc_id", F.explode(listed).alias("x")).select("doc_id", "x.field", "x.words")
+    found = rows.select("doc_id", "field", F.posexplode("words").alias("pos", "term")).groupBy("doc_id", "field", "term")
+    return Index(settle(found.agg(F.sort_array(F.collect_list("pos")).alias("positions")), "postings"), settle(rows.select("doc_id", "field", F.size("words").alias("length")), "sizes"))
+
+
+class Node(NamedTuple):
+    """``kind``: and, or, not, words. Words are next to each other; the last one is a beginning if ``prefix``; ``fields`` () means any."""
+
+    kind: str
+    parts: tuple[Node, ...] = ()
+    words: tuple[str, ...] = ()
+    fields: tuple[str, ...] = ()
+    prefix: bool = False
+
+
+_TOKEN = re.compile(r'\s*(?:([()])|("[^"]*"|[^\s()\[\]"]+)(\*?)\s*(?:\[([^\]]*)\])?)')
+
+
+def parse_query(text: str, tags: Mapping[str, Sequence[str]]) -> Node | None:
+    """The tree of a query of words, "phrases", beginnings*, [field] tags, AND, OR, NOT and brackets; NOT binds first, then AND, then OR.
+
+    Terms side by side are joined by AND. ``tags``: lower-cased tag to fields; an unknown tag means any field. None without a term.
+    """
+    tokens = [m.groups() for m in _TOKEN.finditer(text)]
+    at = 0
+
+    def word(token) -> Node | None:
+        raw, star, tag = token[1], token[2], token[3]
+        prefix = bool(star) or raw.strip('"').endswith("*")
+        words = tuple(re.findall(r"[^\W_]+", raw.lower()))
+        return Node("words", words=words, fields=tuple(tags.get((tag or "").strip().lower(), ())), prefix=prefix) if words else None
+
+    def joined(kind: str, parts: list[Node | None]) -> Node | None:
+        parts = [p for p in parts if p]
+        return None if not parts else parts[0] if len(parts) == 1 else Node(kind, tuple(parts))
+
+    def peek() -> str | None:
+        return None if at == len(tokens) else tokens[at][0] or (tokens[at][1] if not tokens[at][3] else "term")
+
+    def either() -> Node | None:
+        nonlocal at
+        parts = [both()]
+        while peek() == "OR":
+            at += 1
+            parts.append(both())
+        return joined("or", parts)
+
+    def both() -> Node | None:
+        nonlocal at
+        parts = [one()]
+        while peek() not in (None, "OR", ")"):
+            if peek() == "AND":
+                at += 1
+            parts.append(one())
+        return joined("and", parts)
+
+    def one() -> Node | None:
+        nonlocal at
+        if peek() == "NOT":
+            at += 1
+            inner = one()
+            return Node("not", (inner,)) if inner else None
+        if peek() == "(":
+            at += 1
+            inner = either()
+            at += peek() == ")"
+            return inner
+        if peek() in (None, ")", "AND", "OR"):
+            return None
+        token = tokens[at]
+        at += 1
+        return word(token)
+
+    return either()
+
+
+def _holding(index: Index, node: Node) -> DataFrame:
+    """(doc_id) of the documents with the node's words next to each other in one of its fields."""
+    rows = index.postings if not node.fields else index.postings.where(F.col("field").isin(*node.fields))
+    last = len(node.words) - 1
+    found = None
+    for i, w in enumerate(node.words):
+        fits = F.startswith("term", F.lit(w)) if node.prefix and i == last else F.col("term") == w
+        here = rows.where(fits).select("doc_id", "field", *([F.explode("positions").alias("pos")] if last else []))
+        if last:
+            here = here.select("doc_id", "field", (F.col("pos") - i).alias("at")).distinct()
+        found = here if found is None else found.join(here, ["doc_id", "field", "at"], "left_semi")
+    return found.select("doc_id").distinct()
+
+
+def matching(index: Index, query: Node) -> DataFrame:
+    """(doc_id) of the documents that a query's tree holds for; a NOT alone is taken from all documents."""
+    if query.kind == "words":
+        return _holding(index, query)
+    if query.kind == "not":
+        return index.sizes.select("doc_id").distinct().join(matching(index, query.parts[0]), "doc_id", "left_anti")
+    if query.kind == "or":
+        found = matching(index, query.parts[0])
+        for part in query.parts[1:]:
+            found = found.unionByName(matching(index, part))
+        return found.distinct()
+    wanted = [p for p in query.parts if p.kind != "not"]
+    found = matching(index, wanted[0]) if wanted else index.sizes.select("doc_id").distinct()
+    for part in wanted[1:]:
+        found = found.join(matching(index, part), "doc_id", "left_semi")
+    for part in query.parts:
+        if part.kind == "not":
+            found = found.join(matching(index, part.parts[0]), "doc_id", "left_anti")
+    return found
+
+
+def weighted_bm25(index: Index, terms: Sequence[str], weights: Mapping[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc_id, score): BM25 in which a word counts by the weight of its field and lengths add over all fields (Robertson and Zaragoza, 2009).
+
+    Only the postings of the asked terms are read; terms stand in rows, so their names can't clash with columns.
+    """
+    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for item in weights.items() for x in item)), F.col("field")), F.lit(1.0))
+    lengths = index.sizes.groupBy("doc_id").agg(F.sum("length").alias("length"))
+    total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    asked = index.postings.where(F.col("term").isin(*set(terms)))
+    tf = asked.groupBy("doc_id", "term").agg(F.sum(F.size("positions") * weight).alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln(F.lit(1.0) + (F.lit(float(total["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (total["mean"] or 1.0)))
+    return tf.join(F.broadcast(df), "term").join(lengths, "doc_id").groupBy("doc_id").agg(F.sum(part).alias("score"))
+
+
 def term_counts(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(doc_id, length, tf_i for each term), without exploding texts into rows."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0)
-    count = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t))).alias(f"tf_{t}")
-    return docs.select("doc_id", found.alias("w")).select("doc_id", F.size("w").alias("length"), *map(count, terms))
+    """(doc_id, length, tf: counts of the terms in their order), without exploding texts into rows."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)
+    count = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
+    return docs.select("doc_id", found.alias("w")).select("doc_id", F.size("w").alias("length"), F.array(*map(count, terms)).alias("tf"))
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of the documents with a term, by BM25 (Robertson and Zaragoza, 2009)."""
     counts = term_counts(docs, terms)
-    total = counts.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *(F.count_if(F.col(f"tf_{t}") > 0).alias(t) for t in terms)).first()
+    held = F.array(*(F.count_if(F.get("tf", i) > 0) for i in range(len(terms))))
+    n, mean, dfs = counts.agg(F.count("*"), F.avg("length"), held).first()
     score = F.lit(0.0)
-    for t in terms:
-        tf = F.col(f"tf_{t}")
-        idf = F.ln(F.lit(1.0) + (F.lit(float(total["n"])) - total[t] + 0.5) / (total[t] + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / (total["avg"] or 1.0)))
+    for i, df in enumerate(dfs):
+        tf = F.get("tf", i)
+        idf = F.ln(F.lit(1.0) + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
     return counts.select("doc_id", score.alias("score")).where("score > 0")
 
 
@@ -48,3 +192,9 @@ def phrase_docs(docs: DataFrame, phrase: Sequence[str]) -> DataFrame:
     for other in starts[1:]:
         found = found.join(other, ["doc_id", "at"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def label_boost(score: Column, label: Column, query: str, exact: float = 2.0, beginning: float = 1.5) -> Column:
+    """A score raised where the label is the query or begins with it."""
+    q, name = F.lit(" ".join(query.split()).lower()), F.lower(F.trim(label))
+    return score * F.when(name == q, exact).when(F.startswith(name, q), beginning).otherwise(1.0)
