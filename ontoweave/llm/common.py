@@ -9,8 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.lineage import settle as materialise
-from ..operators.lineage import shared_dir
+from ..operators.lineage import settle, shared_dir
 
 __all__ = ["by_bytes", "materialise", "semi_join_checked", "shared_dir", "table"]
 
@@ -19,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def materialise(df: DataFrame, name: str, batch_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` written once to the shared folder and read back. Python operators in it get Arrow batches of about ``batch_bytes``,
+    by a setting that holds for this write alone; Spark's default of 64 MB makes two tasks of an executor hold much more."""
+    conf, name_of = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name_of)
+    conf.set(name_of, str(batch_bytes))
+    try:
+        return settle(df, name)
+    finally:
+        conf.set(name_of, before)
+
+
 def semi_join_checked(big: DataFrame, small: DataFrame, key: str, max_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``big`` whose key is in ``small``.
 
