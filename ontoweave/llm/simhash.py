@@ -286,11 +286,11 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             yield rows.slice(0, keep), np.repeat(bounds[1:], np.diff(bounds))
 
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.num_rows
-        if size >= LANES * LANES and held:
-            yield from flush(False)
+        for at in range(0, batch.num_rows, LANES * LANES):
+            held.append(batch.slice(at, LANES * LANES))
+            size += held[-1].num_rows
+            if size >= LANES * LANES:
+                yield from flush(False)
     if held:
         yield from flush(True)
 
@@ -412,7 +412,7 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
             fps = np.frombuffer(b"".join(rows.column(5).to_pylist()), ">u8").reshape(len(node), -1).astype(np.uint64)
             component = rows.column(6).to_numpy() if known else node
             tested = Pairs(node, rows.column(7)) if known else None
-            stack = [Forest(component) for _ in range(forests)]
+            stack = []
             for i, j in close_pairs(fps, ends, radius):
                 if known:
                     left = component[i] != component[j]
@@ -420,8 +420,12 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
                     left = ~tested.hold(i, j)
                     i, j = i[left], j[left]
                 distance = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
-                for forest in stack:
-                    left = ~forest.add(i, j, distance)
+                for nth in range(forests):
+                    if not len(i):
+                        break
+                    if nth == len(stack):
+                        stack.append(Forest(component))
+                    left = ~stack[nth].add(i, j, distance)
                     i, j, distance = i[left], j[left], distance[left]
             if links := [link for forest in stack for link in forest.links]:
                 i, j, distance = np.array(links).T
