@@ -79,7 +79,7 @@ def count_runs(texts: DataFrame) -> DataFrame:
     """(model, hi, lo, n) over all ``texts`` (text, model); each task sends a run of some thousand texts once."""
 
     def counted(model: int, pieces: list[np.ndarray]) -> pa.RecordBatch:
-        s = np.concatenate(pieces)
+        s = np.concatenate(pieces).astype(np.int64)
         back = lambda m: s[ORDER - 1 - m : len(s) - m]
         lo = back(0) | back(1) << BITS | back(2) << 2 * BITS
         hi = sum((back(m) << BITS * (m - 3) for m in range(3, ORDER)), np.zeros_like(lo))
@@ -97,9 +97,9 @@ def count_runs(texts: DataFrame) -> DataFrame:
         for batch in by_bytes(batches, 0):
             for text, model in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if data := text.as_py():
-                    held.setdefault(model, []).append(symbols(data))
+                    held.setdefault(model, []).append(symbols(data).astype(np.int32))
                     size[model] = size.get(model, 0) + len(held[model][-1])
-                    if size[model] > 1 << 21 or sum(size.values()) > 1 << 23:
+                    if size[model] > 1 << 19 or sum(size.values()) > 1 << 22:
                         model = max(size, key=size.get)
                         yield counted(model, held.pop(model))
                         del size[model]
