@@ -42,7 +42,7 @@ def _renamed(edges: DataFrame, moved: DataFrame) -> DataFrame:
     return edges.where("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
 
 
-def complete_link(pairs: DataFrame, threshold: float, max_rounds: int = 200) -> DataFrame:
+def complete_link(pairs: DataFrame, threshold: float) -> DataFrame:
     """(cluster, member): pairs (a, b, value), best first; blocks merge only if every cross pair reaches the threshold.
 
     Two blocks may merge once their edge is the first of both, whatever goes on elsewhere, so each round merges many. Edges
@@ -55,7 +55,7 @@ def complete_link(pairs: DataFrame, threshold: float, max_rounds: int = 200) ->
     edges = settle(good.select("a", "b", F.struct((-F.col("value")).alias("v"), F.col("a").alias("x"), F.col("b").alias("y")).alias("ord"), F.lit(1).cast("long").alias("good")), "edges")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("member")).distinct()
     blocks = settle(nodes.select("member", F.col("member").alias("block")), "blocks")
-    for _ in range(max_rounds):
+    while True:  # the first edge of all is always the first of both its blocks
         if edges.isEmpty():
             named = blocks.withColumn("cluster", F.min("member").over(Window.partitionBy("block"))).withColumn("n", F.count("*").over(Window.partitionBy("block")))
             return named.where("n > 1").select("cluster", "member")
@@ -66,33 +66,38 @@ def complete_link(pairs: DataFrame, threshold: float, max_rounds: int = 200) ->
         moved = settle(_first_for_both(open_).select(F.col("b").alias("old"), F.col("a").alias("new")), "moved")
         blocks = settle(blocks.join(moved.toDF("block", "new"), "block", "left").select("member", F.coalesce("new", "block").alias("block")), "blocks")
         edges = settle(_renamed(open_, moved).groupBy("a", "b").agg(F.min("ord").alias("ord"), F.sum("good").alias("good")), "edges")
-    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
 
 
-def veto_merge(links: DataFrame, unique_prefixes: Sequence[str], max_rounds: int = 200) -> DataFrame:
+def veto_merge(links: DataFrame, unique_prefixes: Sequence[str]) -> DataFrame:
     """(node, entity): links (a, b, ord) merge in order unless that would join two ids of one unique prefix.
 
-    Two blocks may decide on their link once it is the first of both: then no earlier link can change either. A round joins
-    the deciding blocks with their ids of unique prefixes; a refused link is dropped, as blocks only grow. Equal ``ord`` go by the
-    smaller names. Entities are named by their smallest node.
+    Links between blocks that hold different ids of one prefix can never merge, as blocks only grow, so each round drops
+    all of them. Two blocks merge once their link is the first of both: then no earlier link can change either. A block
+    without any such id also merges by its own first link, whatever the other side waits for, as it brings nothing that
+    could clash. Equal ``ord`` go by the smaller names. Entities are named by their smallest node.
     """
     rows = links.where("a is not null and b is not null").select("a", "b", F.struct("ord", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).alias("ord"))
     edges = settle(rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ord").groupBy("a", "b").agg(F.min("ord").alias("ord")), "edges")
     nodes = rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     blocks = settle(nodes.select("node", F.col("node").alias("block")), "blocks")
     prefix = F.substring_index("node", ":", 1)
-    for _ in range(max_rounds):
+    while True:
+        # A block holds one id of each unique prefix at most: equal ids are the same node.
+        held = settle(blocks.withColumn("prefix", prefix).where(F.col("prefix").isin(*unique_prefixes)).select("block", "prefix", "node"), "held")
+        clash = edges.join(held.toDF("a", "prefix", "i"), "a").join(held.toDF("b", "prefix", "j"), ["b", "prefix"]).where("i <> j").select("a", "b").distinct()
+        edges = settle(edges.join(clash, ["a", "b"], "left_anti"), "edges")
         if edges.isEmpty():
             return blocks.select("node", F.min("node").over(Window.partitionBy("block")).alias("entity"))
-        # A block holds one id of each unique prefix at most: equal ids are the same node.
-        held = blocks.withColumn("prefix", prefix).where(F.col("prefix").isin(*unique_prefixes)).select("block", "prefix", "node")
-        asked = settle(_first_for_both(edges), "asked")
-        clash = asked.join(held.toDF("a", "prefix", "i"), "a").join(held.toDF("b", "prefix", "j"), ["b", "prefix"]).where("i <> j").select("a", "b").distinct()
-        moved = settle(asked.join(clash, ["a", "b"], "left_anti").select(F.col("b").alias("old"), F.col("a").alias("new")), "moved")
+        both = _first_for_both(edges).select(F.col("b").alias("old"), F.col("a").alias("new"))
+        ends = edges.select("a", "b", "ord").union(edges.select("b", "a", "ord")).groupBy(F.col("a").alias("old")).agg(F.min_by("b", "ord").alias("new"))
+        free = ends.join(held.select(F.col("block").alias("old")).distinct(), "old", "left_anti")
+        moves = settle(both.union(free).groupBy("old").agg(F.min("new").alias("new")), "moves")
+        # A block that others move to stays where it is this round; of two that would swap, the smaller one stays.
+        swaps = moves.join(moves.toDF("new", "back"), "new").where("old = back and old < new").select("old")
+        going = moves.join(swaps, "old", "left_anti")
+        moved = settle(going.join(going.select(F.col("old").alias("new")), "new", "left_anti").select("old", "new"), "moved")
         blocks = settle(blocks.join(moved.toDF("block", "new"), "block", "left").select("node", F.coalesce("new", "block").alias("block")), "blocks")
-        left = edges.join(clash, ["a", "b"], "left_anti")
-        edges = settle(_renamed(left, moved).groupBy("a", "b").agg(F.min("ord").alias("ord")), "edges")
-    raise RuntimeError(f"entities did not settle in {max_rounds} rounds")
+        edges = settle(_renamed(edges, moved).groupBy("a", "b").agg(F.min("ord").alias("ord")), "edges")
 
 
 def stable_cluster_id(kind: str, process: Column, members: Column) -> Column:
@@ -103,8 +108,7 @@ def stable_cluster_id(kind: str, process: Column, members: Column) -> Column:
     return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(text, 256), 1, 20))
 
 
-def shared_process_groups(pairs: DataFrame) -> DataFrame:
-    """(process, members, id): all members of the pairs (a, b, processes) that share a process; groups may overlap."""
-    rows = pairs.select(F.explode("processes").alias("process"), F.explode(F.array("a", "b")).alias("member"))
-    groups = rows.groupBy("process").agg(F.sort_array(F.collect_set("member")).alias("members"))
+def shared_process_groups(members: DataFrame) -> DataFrame:
+    """(process, members, id): the members (process, member) of each process that more than one shares; groups may overlap."""
+    groups = members.groupBy("process").agg(F.sort_array(F.collect_set("member")).alias("members")).where(F.size("members") > 1)
     return groups.withColumn("id", stable_cluster_id("pathway", F.col("process"), F.col("members")))

@@ -5,28 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settle
 
-def jaccard_pairs(features: DataFrame) -> DataFrame:
-    """(a, b, shared, jaccard), a < b, for entities of distinct (entity, feature) that share a feature."""
-    size = features.groupBy("entity").agg(F.count("*").alias("n"))
-    sized = features.join(size, "entity")
-    left, right = sized.toDF("a", "feature", "na"), sized.toDF("b", "feature", "nb")
-    pairs = left.join(right, "feature").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return pairs.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
+def jaccard_pairs(features: DataFrame, at_least: float) -> DataFrame:
+    """(a, b, shared, jaccard), a < b, of all entities of (entity, feature) with a Jaccard of ``at_least``, which is above 0.
+
+    Sets so similar share one of the first n - ceil(at_least * n) + 1 of their n features in any order; with rare features
+    first, those that most entities have are hardly ever joined on. Only pairs that meet so, of sizes that fit, are compared whole.
+    Entities with equal sets all meet: join classes of equal sets, such as equal texts, by one of them.
+    """
+    rows = features.where("entity is not null and feature is not null").distinct()
+    often = rows.groupBy("feature").agg(F.count("*").alias("df"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "feature"))), lambda x: x["feature"])
+    sets = settle(rows.join(often, "feature").groupBy("entity").agg(ordered.alias("features")).withColumn("n", F.size("features")), "sets")
+    first = F.slice("features", 1, F.col("n") - F.ceil(F.lit(at_least) * F.col("n") - 1e-9).cast("int") + 1)
+    keys = sets.select("entity", "n", F.explode(first).alias("key"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(at_least) * F.greatest("na", "nb") - 1e-9)
+    near = keys.toDF("a", "na", "key").join(keys.toDF("b", "nb", "key"), "key").where(fits).select("a", "b").distinct()
+    whole = near.join(sets.toDF("a", "fa", "na"), "a").join(sets.toDF("b", "fb", "nb"), "b").withColumn("shared", F.size(F.array_intersect("fa", "fb")).cast("long"))
+    found = whole.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    return found.where(F.col("jaccard") >= at_least - 1e-12).select("a", "b", "shared", "jaccard")
 
-def weighted_neighbours(profiles: DataFrame, weights: DataFrame, asking: DataFrame) -> DataFrame:
-    """(entity, other, score): weight of shared terms over weight of all terms, for the entities of ``asking``.
 
-    Terms that every entity has weigh nothing and make no neighbours; they are left out before the join.
+def weighted_neighbours(profiles: DataFrame, weights: DataFrame, asking: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(entity, other, score, exact, features): weight of shared terms over weight of all terms, for the entities of ``asking``.
+
+    ``exact`` is the Jaccard of their own ``annotations``; ``features`` are the five weightiest shared terms. Terms that every entity has
+    weigh nothing and make no neighbours. The asking entities' terms are few and meet all entities' terms in one join.
     """
     rows = profiles.select("entity", "term").join(weights.where("ic > 0").select("term", "ic"), "term")
     whole = rows.groupBy("entity").agg(F.sum("ic").alias("whole"))
     mine = rows.join(asking, "entity", "left_semi")
-    other = rows.select(F.col("entity").alias("other"), "term")
-    shared = mine.join(other, "term").where("entity <> other").groupBy("entity", "other").agg(F.sum("ic").alias("shared"))
-    both = shared.join(whole, "entity").join(whole.toDF("other", "other_whole"), "other")
-    return both.select("entity", "other", (F.col("shared") / (F.col("whole") + F.col("other_whole") - F.col("shared"))).alias("score"))
+    shared = mine.join(rows.select(F.col("entity").alias("other"), "term"), "term").where("entity <> other")
+    best = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("ic")).alias("w"), "term"))), 1, 5), lambda x: x["term"])
+    met = shared.groupBy("entity", "other").agg(F.sum("ic").alias("shared"), best.alias("features"))
+    own = annotations.select("entity", "term").distinct()
+    sizes = own.groupBy("entity").agg(F.count("*").alias("n"))
+    same = own.join(asking, "entity", "left_semi").join(own.toDF("other", "term"), "term").groupBy("entity", "other").agg(F.count("*").alias("both"))
+    found = (
+        met.join(whole, "entity").join(whole.toDF("other", "other_whole"), "other").join(same, ["entity", "other"], "left").na.fill(0, ["both"])
+        .join(sizes, "entity").join(sizes.toDF("other", "other_n"), "other")
+    )
+    return found.select(
+        "entity", "other", (F.col("shared") / (F.col("whole") + F.col("other_whole") - F.col("shared"))).alias("score"),
+        (F.col("both") / (F.col("n") + F.col("other_n") - F.col("both"))).alias("exact"), "features",
+    )
 
 
 def trio_similarity(features: DataFrame, anchor: DataFrame) -> DataFrame:
@@ -59,3 +83,19 @@ def directed_similarity(annotations: DataFrame, propagated: DataFrame, weights:
     theirs = propagated.select(F.col("entity").alias("b"), F.col("term").alias("ancestor"))
     best = pairs.join(climbed, "a").join(theirs, ["b", "ancestor"]).groupBy("a", "b", "term", "freq").agg(F.max("ic").alias("best"))
     return best.groupBy("a", "b").agg(F.sum(F.col("best") * (F.lit(0.4) + F.lit(0.6) * F.col("freq"))).alias("value"))
+
+
+def symmetric_similarity(annotations: DataFrame, propagated: DataFrame, weights: DataFrame, closed: DataFrame, focus: str, fewest: int = 3, least: float = 0.25) -> DataFrame:
+    """(a, b, similarity): ``focus`` against all entities; the root of the product of how well each explains the other, over how well
+    each explains itself. Entities with fewer than ``fewest`` terms and similarities below ``least`` are left out."""
+    enough = annotations.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= fewest).select("entity")
+    mine, theirs = annotations.join(enough, "entity", "left_semi"), propagated.join(enough, "entity", "left_semi")
+    others = enough.where(F.col("entity") != focus).withColumn("focus", F.lit(focus))
+    pairs = others.select(F.col("focus").alias("a"), F.col("entity").alias("b")).union(others.select("entity", "focus")).union(enough.select("entity", "entity"))
+    v = settle(directed_similarity(mine, theirs, weights, closed, pairs).withColumn("value", F.greatest("value", F.lit(1e-9))), "directed")
+    own = v.where("a = b").select(F.col("a").alias("x"), F.col("value").alias("own"))
+    there = v.where((F.col("a") == focus) & (F.col("b") != focus))
+    back = v.where((F.col("b") == focus) & (F.col("a") != focus)).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("value").alias("back"))
+    both = there.join(back, ["a", "b"]).join(own.toDF("a", "own_a"), "a").join(own.toDF("b", "own_b"), "b")
+    found = both.select("a", "b", F.sqrt(F.col("value") / F.col("own_a") * (F.col("back") / F.col("own_b"))).alias("similarity"))
+    return found.where(F.col("similarity") >= least)

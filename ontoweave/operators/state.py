@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,21 +15,25 @@ from .topk import best_per_key
 def fixed_window_counter(events: DataFrame, window: int, most: int) -> DataFrame:
     """(key, at, id, hits, allowed): a window opens at a key's first hit and restarts with the first hit at or after its end.
 
-    ``events``: (key, at, id) with whole seconds. Where a window starts depends on the one before, so each key's events
-    are folded in order; a key's events stream through its task in sorted batches of one group.
+    ``events``: (key, at, id) with whole seconds; events of a null key form one key. Where a window starts depends on the
+    one before, so events are sorted by key and time and stream through their tasks; between batches a task holds one key, one
+    start and one count, so a key of any size takes no more memory than others.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", "id"], ignore_index=True)
-        hits, reset, n = [], None, 0
-        for at in part["at"]:
-            if reset is None or reset <= at:
-                reset, n = at + window, 0
-            n += 1
-            hits.append(n)
-        return part.assign(hits=hits, allowed=[h <= most for h in hits])
-
-    return events.select("key", "at", "id").groupBy("key").applyInPandas(fold, "key long, at long, id long, hits long, allowed boolean")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reset, n = object(), 0, 0
+        for batch in batches:
+            hits = []
+            for key, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != last or reset <= at:
+                    last, reset, n = key, at + window, 0
+                n += 1
+                hits.append(n)
+            hits = pa.array(hits, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits, pc.less_equal(hits, most)], names=["key", "at", "id", "hits", "allowed"])
+
+    rows = events.select(*(F.col(c).cast("long").alias(c) for c in ("key", "at", "id"))).where("at is not null")
+    return rows.repartition("key").sortWithinPartitions("key", "at", "id").mapInArrow(fold, "key long, at long, id long, hits long, allowed boolean")
 
 
 def upsert(feed: DataFrame, key: str, order: list[str]) -> DataFrame:

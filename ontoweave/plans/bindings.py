@@ -1,7 +1,7 @@
 """How the driver's tables stand for a knowledge graph.
 
 Parts are leaf terms below their brand and their type, which are below a root; customers are annotated with the
-parts they ordered, with their share of the customer's lines as frequency.
+parts they ordered, with their number of lines against that of the customer's most ordered part as frequency.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ontology
+from ..operators.lineage import settle
 from .registry import table
 
-_CLOSED: dict[tuple[str, str], DataFrame] = {}
-
 
 def is_a(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
@@ -24,17 +23,21 @@ def is_a(spark: SparkSession, d: str) -> DataFrame:
 
 
 def closed(spark: SparkSession, d: str) -> DataFrame:
-    """The closure table, built once a session as an index."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _CLOSED:
-        _CLOSED[key] = ontology.closure(is_a(spark, d))
-    return _CLOSED[key]
+    """The closure table, built from the tables as they are now."""
+    return ontology.closure(is_a(spark, d))
+
+
+def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(closure, annotations, propagated annotations, term weights), each settled once."""
+    shut, ann = closed(spark, d), settle(annotations(spark, d), "annotations")
+    prop = settle(ontology.propagate(ann, shut), "propagated")
+    return shut, ann, prop, settle(ontology.term_weights(prop), "weights")
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.expr("o_orderkey = l_orderkey"))
     n = li.groupBy("o_custkey", "l_partkey").agg(F.count("*").alias("n"))
-    freq = F.col("n") / F.sum("n").over(Window.partitionBy("o_custkey"))
+    freq = F.col("n") / F.max("n").over(Window.partitionBy("o_custkey"))
     return n.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("entity"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("term"), freq.alias("freq"))
 
 
@@ -52,7 +55,7 @@ up(descendant, ancestor, depth) as (
   select n, n, 0 from nodes union select u.descendant, i.parent, u.depth + 1 from up u join is_a i on u.ancestor = i.child),
 closed as (select descendant, ancestor, min(depth)::int as depth from up group by all),
 lines as (select o_custkey, l_partkey, count(*) as n from orders join lineitem on o_orderkey = l_orderkey group by all),
-ann as (select 'customer:' || o_custkey as entity, 'part:' || l_partkey as term, n::double / sum(n) over (partition by o_custkey) as freq from lines),
+ann as (select 'customer:' || o_custkey as entity, 'part:' || l_partkey as term, n::double / max(n) over (partition by o_custkey) as freq from lines),
 prop as (select entity, ancestor as term, max(freq) as freq from ann join closed on term = descendant group by all),
 total as (select count(distinct entity)::double as t from prop),
 weights as (select term, count(*) as df, ln(any_value(t) / count(*)) as ic, ln(any_value(t) / count(*)) / ln(any_value(t)) as specificity from prop, total group by term)

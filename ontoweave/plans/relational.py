@@ -33,11 +33,12 @@ def jn_05_anti(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("select a.l_suppkey as a, b.l_suppkey as b, count(*) as shared from (select distinct l_suppkey, l_partkey from lineitem) a join (select distinct l_suppkey, l_partkey from lineitem) b on a.l_partkey = b.l_partkey and a.l_suppkey < b.l_suppkey group by all having count(*) >= 3")
+@query("with f as (select distinct o_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey) select a.o_custkey as a, b.o_custkey as b, count(*) as shared from f a join f b on a.l_partkey = b.l_partkey and a.o_custkey < b.o_custkey group by all having count(*) >= 3")
 def jn_06_inverted_index_pairs(spark, d):
-    f = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    a, b = f.toDF("a", "l_partkey"), f.toDF("b", "l_partkey")
-    return a.join(b, "l_partkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
+    """Customers that share three parts or more; a part has a bounded number of buyers, however many customers there are."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey"))
+    f = li.select("o_custkey", "l_partkey").distinct()
+    return f.toDF("a", "part").join(f.toDF("b", "part"), "part").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
 @query("select o.o_orderkey, l_linenumber, o_orderdate::varchar as ordered from orders o join lineitem on l_orderkey = o_orderkey where l_shipdate < o_orderdate + interval 3 day and l_shipdate > o_orderdate")
@@ -68,11 +69,13 @@ def jn_13_preferred_else_fallback(spark, d):
     return x.withColumn("has", has).where("p_brand = 'Brand#11' or (has = 0 and q >= 100)").drop("has")
 
 
-@query("select n_name, count(distinct d.doc_id) as docs from nation, documents d where contains(lower(d.text), lower(substr(n_name, 1, 3))) group by 1")
+@query("with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) as w from documents), k as (select distinct lower(string_split(p_name, ' ')[2]) as k from part union select distinct lower(n) from (values ('The'), ('Des'), ('Und'), ('Las')) t(n)) select k as name, count(distinct doc_id) as docs from w join k on w = k group by 1")
 def jn_14_contains_join(spark, d):
-    # The names are a fixed small dimension; the texts stay where they are.
-    names = F.broadcast(table(spark, d, "nation").select("n_name"))
-    return table(spark, d, "documents").join(names, F.expr("contains(lower(text), lower(substr(n_name, 1, 3)))")).groupBy("n_name").agg(F.count_distinct("doc_id").alias("docs"))
+    """Documents whose text holds a name as a word: the words are the key, so no text meets every name."""
+    names = table(spark, d, "part").select(F.lower(F.split("p_name", " ")[1]).alias("name")).distinct().union(spark.createDataFrame([("the",), ("des",), ("und",), ("las",)], "name string"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), 0))
+    held = table(spark, d, "documents").select("doc_id", F.explode(words).alias("name"))
+    return held.join(names.distinct(), "name").groupBy("name").agg(F.count_distinct("doc_id").alias("docs"))
 
 
 @query("with t as (select p_partkey::varchar as tn from part), e as (select tn, substr(tn, 1, length(tn) - 1) as up from t where length(tn) > 1) select e.tn as child, t.tn as parent from e join t on e.up = t.tn")
@@ -221,10 +224,10 @@ def tk_02_custom_score(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") - 0.02 * (F.col("p_size") - 20), 4).alias("score")).orderBy("score", "p_partkey").limit(25)
 
 
-@query("select p_partkey, p_name from part where lower(p_name) like '%part 1%' or lower(p_name) like '%1%' order by (lower(p_name) like '%1') desc, (lower(p_name) like 'p%') desc, length(p_name), p_partkey limit 20")
+@query("select p_partkey, p_name from part where lower(p_name) like '%red%' or lower(p_name) like '%ring%' order by (lower(p_name) like '%ring') desc, (lower(p_name) like 'red%') desc, length(p_name), p_partkey limit 200")
 def tk_04_boolean_order(spark, d):
-    p = table(spark, d, "part").where("lower(p_name) like '%part 1%' or lower(p_name) like '%1%'")
-    return p.orderBy(F.expr("lower(p_name) like '%1'").desc(), F.expr("lower(p_name) like 'p%'").desc(), F.length("p_name"), "p_partkey").limit(20).select("p_partkey", "p_name")
+    p = table(spark, d, "part").where("lower(p_name) like '%red%' or lower(p_name) like '%ring%'")
+    return p.orderBy(F.expr("lower(p_name) like '%ring'").desc(), F.expr("lower(p_name) like 'red%'").desc(), F.length("p_name"), "p_partkey").limit(200).select("p_partkey", "p_name")
 
 
 @query("select o_orderkey, o_orderpriority from orders where o_orderstatus = 'F' order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 9 end, o_orderkey limit 30")
@@ -257,13 +260,13 @@ def set_02_union_priority(spark, d):
     return exact.unionByName(p.where("p_brand like 'Brand#1%' and p_brand <> 'Brand#12'").select(F.lit(1).alias("priority"), "p_partkey"))
 
 
-@query("with f as (select l_suppkey as e, p_brand as f from lineitem join part on l_partkey = p_partkey where l_quantity > 40 group by all), n as (select e, count(*) as n from f group by 1) select a.e as a, b.e as b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) as jaccard from f a join f b on a.f = b.f and a.e < b.e join n x on x.e = a.e join n y on y.e = b.e group by a.e, b.e having count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.6")
+@query("with t as (select min(doc_id) as e, text from documents group by text), f as (select distinct e, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) as f from t), n as (select e, count(*) as n from f group by 1) select a.e as a, b.e as b, count(*) as shared, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) as jaccard from f a join f b on a.f = b.f and a.e < b.e join n x on x.e = a.e join n y on y.e = b.e group by a.e, b.e having count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.4")
 def set_04_jaccard_pairs(spark, d):
+    """Different texts that share four tenths of their words."""
     from ..operators.similarity import jaccard_pairs
+    from .graphs import _text_words
 
-    f = table(spark, d, "lineitem").where("l_quantity > 40").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
-    pairs = jaccard_pairs(f.select(F.col("l_suppkey").alias("entity"), F.col("p_brand").alias("feature")).distinct())
-    return pairs.where("jaccard >= 0.6").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return jaccard_pairs(_text_words(spark, d), 0.4).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("with u as (select c_custkey as k, 0 as o from customer where c_acctbal > 9000 union all select o_custkey, 1 from orders where o_totalprice > 400000) select k, min(o) as first_source from u group by 1")
@@ -273,9 +276,11 @@ def set_05_first_wins(spark, d):
     return a.union(b).groupBy("k").agg(F.min("o").alias("first_source"))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select distinct o_custkey, l_partkey from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'O' except select o_custkey, l_partkey from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R'")
 def set_06_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    """Parts in open orders of a customer who has never returned them."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey"))
+    return li.where("o_orderstatus = 'O'").select("o_custkey", "l_partkey").subtract(li.where("l_returnflag = 'R'").select("o_custkey", "l_partkey"))
 
 
 @query("select r_name, c_mktsegment, count(*) as n, grouping(r_name)::int as g1, grouping(c_mktsegment)::int as g2 from customer join nation on c_nationkey = n_nationkey join region on r_regionkey = n_regionkey group by cube (r_name, c_mktsegment)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..functions.scores import frequency
 from ..operators import evidence, search, state
+from ..operators.topk import best_per_key
 from ..sources import html
 from ..streaming import windows
 from .registry import query, table
@@ -18,9 +19,10 @@ def pf_01_02_text_keys(spark, d):
     return table(spark, d, "part").select("p_partkey", text.normal(F.col("p_name")).alias("normal"), text.word_key(F.col("p_name")).alias("key"), text.slug(F.col("p_name")).alias("slug"))
 
 
-@query("select source, count(*) as docs, count(distinct strip_accents(lower(substr(text, 1, 200)))) as folded from documents where lang = 'fr' group by 1")
+@query("select source, lang, count(*) as docs, count(distinct strip_accents(lower(text))) as folded from documents group by all")
 def pf_03_accent_fold(spark, d):
-    return table(spark, d, "documents").where("lang = 'fr'").groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct(text.fold(F.substring("text", 1, 200))).alias("folded"))
+    """Different folded texts of each source and language."""
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("docs"), F.count_distinct(text.fold(F.col("text"))).alias("folded"))
 
 
 @query("with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents) select doc_id, len(list_filter(w, lambda x: x not in ('of', 'the', 'and', 'with', 'a', 'an', 'in', 'to', 'abnormal', 'abnormality')))::int as words from w")
@@ -28,10 +30,10 @@ def pf_04_word_set(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("words"))
 
 
-@query("select p_partkey from part where p_name like '%12%' or lower(p_type) = 'x'")
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'widgets') or len(list_filter(string_split(lower(p_name), ' '), lambda x: x in ('red', 'widgets') or (len(x) >= 5 and (starts_with('widgets', x) or starts_with(x, 'widgets'))))) > 0")
 def pf_05_similar_names(spark, d):
-    """Names that contain the query; numbers make no stems, so only a whole number or a part of the name matches."""
-    return table(spark, d, "part").where(text.similar(F.lit("12"), F.col("p_name"))).select("p_partkey")
+    """Names with a word of the query or with its stem."""
+    return table(spark, d, "part").where(text.similar(F.lit("red widgets"), F.col("p_name"))).select("p_partkey", "p_name")
 
 
 @query("select event_id, case event_id % 6 when 0 then 0.9::double when 1 then (event_id % 7) / 7.0::double when 2 then (event_id % 100)::double / 100 when 3 then 0.55 when 4 then 0.02 else 0.5 end as freq from events")
@@ -48,42 +50,56 @@ def pf_id_normal_forms(spark, d):
     return table(spark, d, "events").select("event_id", ids.normalize(raw).alias("normal"), ids.bridge_id(raw).alias("bridge"))
 
 
-@query("select item_id, doc_id from (select item_id, list_aggregate(list_slice(string_split(text, ' '), 1, 8), 'string_agg', ' ') as head from benchmark where len(string_split(text, ' ')) >= 8) b join documents d on contains(d.text, head)")
+RUNS_SQL = """with iw as (select item_id, regexp_extract_all(text, '\\S+') as w from benchmark), ir as (select distinct item_id, list_aggregate(list_slice(w, i, i + 7), 'string_agg', ' ') as run from (select item_id, w, unnest(range(1, len(w) - 6)) as i from iw where len(w) >= 8)),
+dw as (select doc_id, regexp_extract_all(text, '\\S+') as w from documents), dr as (select distinct doc_id, list_aggregate(list_slice(w, i, i + 7), 'string_agg', ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from dw where len(w) >= 8)),
+met as (select item_id, doc_id, count(*) as runs from ir join dr using (run) group by all)
+"""
+
+
+def _shared_runs(spark, d, words=8):
+    """(item_id, doc_id, runs): how many different runs of words of a benchmark item stand in a document."""
+    split = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    def runs(name, key):
+        return table(spark, d, name).select(key, split.alias("w")).where(F.size("w") >= words).select(key, F.explode(F.array_distinct(hashes)).alias("k"))
+
+    items = runs("benchmark", "item_id")
+    # Few different runs are broadcast, and then no run of a document is shuffled that no item has.
+    items = items.hint("broadcast" if items.count() <= 1_000_000 else "merge")
+    return runs("documents", "doc_id").join(items, "k").groupBy("item_id", "doc_id").agg(F.count("*").alias("runs"))
+
+
+@query(RUNS_SQL + "select * from met")
 def pf_14_phrase_contamination(spark, d):
-    """Documents that hold the first eight words of a benchmark item, by an equi-join on hashed word runs."""
-    heads = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("w")).where("size(w) >= 8").select("item_id", F.array_join(F.slice("w", 1, 8), " ").alias("head"))
-    w = F.split("text", " ")
-    runs = table(spark, d, "documents").select("doc_id", "text", w.alias("w")).where("size(w) >= 8")
-    # The first and last word of a run may touch punctuation or a line's end; the six in between are whole words.
-    inner = F.transform(F.sequence(F.lit(2), F.size("w") - 6), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 6), " ")))
-    keys = runs.select("doc_id", F.explode(F.array_distinct(inner)).alias("k"))
-    asked = heads.withColumn("k", F.xxhash64(F.array_join(F.slice(F.split("head", " "), 2, 6), " ")))
-    found = keys.join(asked, "k").select("doc_id", "item_id", "head").distinct()
-    return found.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "head")).select("item_id", "doc_id")
-
-
-@query("select conv_id, a.turn as turn, b.turn as quoted from conversations a join conversations b using (conv_id) where a.turn > b.turn and contains(regexp_replace(a.text, '\\s+', ' ', 'g'), list_aggregate(list_slice(string_split(regexp_replace(b.text, '\\s+', ' ', 'g'), ' '), 1, 5), 'string_agg', ' ')) and len(string_split(regexp_replace(b.text, '\\s+', ' ', 'g'), ' ')) >= 5")
+    """Documents that hold a run of eight words of a benchmark item, anywhere in either."""
+    return _shared_runs(spark, d)
+
+
+@query(RUNS_SQL + "select item_id, doc_id, contains(regexp_replace(d.text, '\\s+', ' ', 'g'), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) as verified from met join documents d using (doc_id) join benchmark b using (item_id)")
 def pf_18_quote_verification(spark, d):
-    c = table(spark, d, "conversations").withColumn("t", F.regexp_replace("text", r"\s+", " "))
-    w = F.split("t", " ")
-    quoted = c.where(F.size(w) >= 5).select("conv_id", F.col("turn").alias("quoted"), F.array_join(F.slice(w, 1, 5), " ").alias("quote"))
-    return c.join(quoted, "conv_id").where("turn > quoted and contains(t, quote)").select("conv_id", "turn", "quoted")
+    """Whether a document quotes a whole benchmark item, but for white space; candidates share a run of words."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    met = _shared_runs(spark, d).select("item_id", "doc_id")
+    items = table(spark, d, "benchmark").select("item_id", plain("text").alias("quote"))
+    docs = table(spark, d, "documents").select("doc_id", "text").join(met, "doc_id")
+    return docs.join(items, "item_id").select("item_id", "doc_id", F.contains(plain("text"), F.col("quote")).alias("verified"))
 
 
-@query("select p_partkey, p_name, rank from (select *, case when lower(p_name) = 'part 1' then 1 when starts_with(lower(p_name), 'part 1') then 2 when contains(lower(p_name), '1') then 3 end as rank from part) where rank is not null order by rank, p_partkey limit 20 offset 5")
+@query("select p_partkey, p_name, rank from (select *, case when p_partkey::varchar = 'red ring' then 0 when lower(p_name) = 'red ring' then 1 when starts_with(lower(p_name), 'red ring') then 2 when contains(lower(p_name), 'red ring') then 3 when lower(p_name) = 'red' then 1 when starts_with(lower(p_name), 'red') then 2 when contains(lower(p_name), 'red') then 3 end as rank from part) where rank is not null order by rank, p_partkey limit 50 offset 5")
 def tk_01_match_rank_search(spark, d):
-    rank = search.match_rank("part 1", F.col("p_partkey").cast("string"), F.col("p_name"))
-    wide = search.match_rank("1", F.lit(""), F.col("p_name"))
-    p = table(spark, d, "part").withColumn("rank", F.coalesce(rank, F.when(wide.isNotNull(), 3)))
-    return p.where("rank is not null").orderBy("rank", "p_partkey").offset(5).limit(20).select("p_partkey", "p_name", "rank")
+    rank = F.coalesce(*(search.match_rank(q, F.col("p_partkey").cast("string"), F.col("p_name")) for q in ("Red  ring", "red")))
+    return table(spark, d, "part").withColumn("rank", rank).where("rank is not null").orderBy("rank", "p_partkey").offset(5).limit(50).select("p_partkey", "p_name", "rank")
 
 
-@query("with e as (select p_partkey, 0 as stage from part where lower(p_name) = 'part 7'), f as (select p_partkey, 1 as stage from part where contains(lower(p_name), '77')) select p_partkey, stage from e union all select p_partkey, stage from f where not exists (select 1 from e)")
+@query("with q as (select distinct lower(p_name) as q from part union select distinct string_split(lower(p_name), ' ')[1] from part union select distinct lower(p_brand) from part), k as (select p_partkey, 0 as stage, lower(p_name) as k from part union all select p_partkey, 1, lower(p_brand) from part union all select p_partkey, 2, string_split(lower(p_name), ' ')[1] from part), s as (select q, stage, count(*) as found, min(p_partkey) as first from q join k on q = k group by all) select q as query, stage, found, first from s qualify row_number() over (partition by q order by stage) = 1")
 def gr_33_staged_resolve(spark, d):
-    """Exact names, and only without any, names that contain the text: one pass with the smallest stage."""
-    p = table(spark, d, "part").withColumn("stage", F.when(F.lower("p_name") == "part 7", 0).when(F.contains(F.lower("p_name"), F.lit("77")), 1)).where("stage is not null")
-    first = p.agg(F.min("stage")).first()[0]
-    return p.where(F.col("stage") == F.lit(first)).select("p_partkey", "stage")
+    """Texts are names, else brands, else first words of names: the first stage that knows a text, with all that it finds."""
+    name, brand = F.lower("p_name"), F.lower("p_brand")
+    p = table(spark, d, "part")
+    keys = p.select("p_partkey", F.posexplode(F.array(name, brand, F.split(name, " ")[0])).alias("stage", "query"))
+    asked = p.select(F.explode(F.array(name, brand, F.split(name, " ")[0])).alias("query")).distinct()
+    found = keys.join(asked, "query").groupBy("query", "stage").agg(F.count("*").alias("found"), F.min("p_partkey").alias("first"))
+    return best_per_key(found, ["query"], ["stage"]).select("query", "stage", "found", "first")
 
 
 @query("with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) select term, count(distinct doc_id) as df, count(*) as tf from w group by 1 having count(distinct doc_id) >= 20")
@@ -134,9 +150,9 @@ def gr_43_candidate_solutions(spark, d):
     return evidence.candidate_solutions(edges, p.select(F.col("p_partkey").alias("target"), F.least(F.lit(1.0), F.col("p_size") / 50.0).alias("weight")))
 
 
-@query("with c as (select p_partkey, count(l_orderkey) as n from part left join lineitem on l_partkey = p_partkey and l_quantity >= 45 group by 1) select p_partkey, n, case when n = 0 then 'untested' when n <= 3 then 'barely_tested' else 'tested' end as status from c")
+@query("with c as (select p_partkey, count(l_orderkey) as n from part left join lineitem on l_partkey = p_partkey and l_returnflag = 'R' and l_discount >= 0.095 group by 1) select p_partkey, n, case when n = 0 then 'untested' when n <= 3 then 'barely_tested' else 'tested' end as status from c")
 def gr_45_gap_status(spark, d):
-    n = table(spark, d, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    n = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.095").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
     c = table(spark, d, "part").select("p_partkey").join(n, "p_partkey", "left").na.fill(0, ["n"])
     return c.withColumn("status", evidence.gap_status(F.col("n")))
 

@@ -34,21 +34,36 @@ def deduplicated(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def last_writer(target: str):
-    """A foreachBatch writer that keeps the last version of each key in ``target`` (columns key, ord, value, deleted)."""
-    from ..operators.lineage import settle
-    from ..operators.state import upsert
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(batch.schema).parquet(target)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = batch.limit(0)
-        settle(upsert_all(held, batch), "upsert").write.mode("overwrite").parquet(target)
-
-    def upsert_all(held: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert(held.unionByName(batch), "key", ["ord"])
+    """A foreachBatch writer that keeps the last version of each key (columns key, ord, value, deleted) below ``target``.
+
+    Every batch makes a new version of the table in a folder named by its number, complete once Spark's _SUCCESS is in it, so a
+    crash leaves the version before and a repeated batch writes its own folder again. Deletions stay as rows with
+    their order: a late older version can't bring a key back. read_last() shows the rows that are not deleted.
+    """
+    from ..operators.topk import best_per_key
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = _version(batch.sparkSession, target, number)
+        rows = batch if held is None else held.unionByName(batch)
+        best_per_key(rows, ["key"], [F.desc("ord"), F.desc("deleted")]).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return write
+
+
+def _version(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The last complete version of those before a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(s.getPath().getName()) for s in files.listStatus(path)] if files.exists(path) else []
+    numbers = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    for number in reversed(numbers):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number}/_SUCCESS")
+        if (before is None or number < before) and files.exists(done):
+            return spark.read.parquet(f"{target}/version={number}")
+    return None
+
+
+def read_last(spark: SparkSession, target: str) -> DataFrame | None:
+    """(key, ord, value, deleted) of the keys that last_writer() holds; None before the first batch."""
+    held = _version(spark, target)
+    return None if held is None else held.where("not deleted")

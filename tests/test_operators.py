@@ -3,16 +3,16 @@
 import math
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ontoweave.functions import ids, scores, text
-from ontoweave.operators import evidence, graph, identity, ontology, ranking, similarity, state
+from ontoweave.operators import evidence, graph, identity, ontology, ranking, search, similarity, state
 from ontoweave.sources import html
 
-IS_A = [("118", "1"), ("5", "1"), ("EYE", "118"), ("LENS", "EYE"), ("SKEL", "118"), ("ARACH", "SKEL"), ("SCOL", "SKEL"), ("HEART", "118"), ("ANEUR", "HEART")]
-ANN = [
-    ("ALPHA", "LENS", 0.9), ("ALPHA", "ARACH", 0.9), ("ALPHA", "ANEUR", 0.9), ("BETA", "SCOL", 1.0), ("BETA", "EYE", 0.5), ("GAMMA", "ANEUR", 0.3), ("GAMMA", "SCOL", 0.3),
-]
+# Tools: a hierarchy of its own. Four shops list tools; 'tool' says nothing, as every shop has one.
+IS_A = [("saw", "cutting"), ("axe", "cutting"), ("cutting", "tool"), ("hammer", "hitting"), ("mallet", "hitting"), ("hitting", "tool")]
+ANN = [("S1", "saw", 1.0), ("S1", "hammer", 0.5), ("S2", "axe", 1.0), ("S3", "mallet", 0.2), ("S3", "saw", 0.1), ("S4", "hammer", 1.0)]
 
 
 def index(spark):
@@ -31,28 +31,91 @@ def test_closure_is_idempotent_and_survives_cycles(spark):
 
 def test_information_content(spark):
     ic = {r.term: r.ic for r in index(spark)[3].collect()}
-    assert math.isclose(ic["LENS"], math.log(3)) and math.isclose(ic["ANEUR"], math.log(1.5)) and ic["SKEL"] == 0
+    assert math.isclose(ic["axe"], math.log(4)) and math.isclose(ic["saw"], math.log(2)) and math.isclose(ic["cutting"], math.log(4 / 3)) and ic["tool"] == 0
 
 
 def test_ranking_example(spark):
     shut, ann, prop, weights = index(spark)
-    case = spark.createDataFrame([(1, t) for t in ("LENS", "ARACH", "ANEUR")], "case int, term string")
+    case = spark.createDataFrame([(1, "saw"), (1, "hammer")], "case int, term string")
+    among = ranking.candidates(case, prop)
     got = {r.entity: r for r in ranking.rank_entities(case, prop, weights, shut).collect()}
-    assert set(got) == {"ALPHA", "GAMMA"}
-    assert math.isclose(got["ALPHA"].score, 2.498582, abs_tol=1e-6) and math.isclose(got["GAMMA"].score, 0.291935, abs_tol=1e-6)
-    assert got["ALPHA"].full == 3
-    cov = ranking.annotation_coverage(case, ann, weights, shut)
-    damped = {r.entity: r.score for r in ranking.rank_entities(case, prop, weights, shut, cov).collect()}
-    assert math.isclose(damped["ALPHA"], 2.498582, abs_tol=1e-6) and math.isclose(damped["GAMMA"], 0.245487, abs_tol=1e-6)
+    # By hand: saw and hammer weigh ln 2, their parents ln 4/3.
+    two, part = math.log(2), math.log(4 / 3)
+    assert set(got) == {"S1", "S3", "S4"} and got["S1"].full == 2 and got["S4"].full == 1
+    assert math.isclose(got["S1"].score, two * 1.0 + two * 0.8)
+    assert math.isclose(got["S3"].score, two * 0.64 + part * 0.68) and math.isclose(got["S4"].score, two)
+    cov = {r.entity: r.coverage for r in ranking.annotation_coverage(case, ann, weights, shut, among).collect()}
+    assert math.isclose(cov["S1"], 1.0)
+    # S3: the saw is explained whole, the mallet (ln 4) by its parent alone.
+    assert math.isclose(cov["S3"], (0.1 * two + 0.2 * part) / (0.1 * two + 0.2 * math.log(4)))
+    without = ranking.rank_entities(case, prop, weights, shut, excluded=spark.createDataFrame([("saw",)], "term string"))
+    assert math.isclose({r.entity: r.score for r in without.collect()}["S1"], part * 1.0 + two * 0.8)
+
+
+def test_merging_pinning_and_gating(spark):
+    _, ann, _, _ = index(spark)
+    rows = spark.createDataFrame([(1, "S1", 3.0, 2), (1, "S3", 2.9, 2), (1, "S4", 1.0, 1), (1, "S2", 0.5, 0)], "case int, entity string, score double, full long")
+    names = spark.createDataFrame([("S1", "one"), ("S4", "one"), ("S2", "two"), ("S3", "three")], "entity string, name string")
+    genes = spark.createDataFrame([(1, "G")], "case int, gene string")
+    links = spark.createDataFrame([("G", "S2", False)], "gene string, entity string, causal boolean")
+    merged = ranking.merge_names(rows, names, ann, genes, links)
+    assert [(r.entity, r.xrefs, r.genes, r.annotated) for r in merged.orderBy("rank").collect()] == [("S2", [], 1, 1), ("S1", ["S4"], 0, 3), ("S3", [], 0, 2)]
+    pinned = ranking.pin(merged, spark.createDataFrame([(1, "S4", 1), (1, "new", 2)], "case int, entity string, ord int"), 3)
+    assert [(r.entity, r.pinned) for r in pinned.orderBy("rank").collect()] == [("S1", True), ("new", True), ("S2", False)]
+    plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy(F.desc("score"))))
+    assert [r.entity for r in ranking.focus_gate(plain, 3).orderBy("rank").collect()] == ["S1", "S3"]
+
+
+def test_dedupe_is_greedy(spark):
+    keys = {"a": {"1"}, "b": {"2"}, "c": {"1", "2", "3"}, "d": {"3"}, "e": {"2"}}
+    ranked = spark.createDataFrame([(1, x, i + 1, 1.0) for i, x in enumerate(keys)], "case int, entity string, rank int, score double").withColumn("xrefs", F.array().cast("array<string>"))
+    table = spark.createDataFrame([(x, k) for x, ks in keys.items() for k in ks], "entity string, key string")
+    got = [(r.entity, sorted(r.xrefs)) for r in ranking.dedupe_ranking(ranked, table).orderBy("rank").collect()]
+    out = []
+    for x, ks in keys.items():
+        hit = next((o for o in out if o[2] & ks), None)
+        if hit:
+            hit[1].append(x)
+            hit[2].update(ks)
+        else:
+            out.append((x, [], set(ks)))
+    assert got == [(x, sorted(more)) for x, more, _ in out]
 
 
 def test_weighted_neighbours(spark):
-    shut = ontology.closure(spark.createDataFrame([("2", "1"), ("3", "2"), ("4", "2")], "child string, parent string"))
-    ann = spark.createDataFrame([("M1", "3", 1.0), ("M2", "4", 1.0), ("M3", "1", 1.0)], "entity string, term string, freq double")
-    prop = ontology.propagate(ann, shut)
-    found = similarity.weighted_neighbours(prop, ontology.term_weights(prop), ann.select("entity")).collect()
-    assert {(r.entity, r.other) for r in found} == {("M1", "M2"), ("M2", "M1")}
-    assert math.isclose(found[0].score, 0.155787, abs_tol=1e-6)
+    _, ann, prop, weights = index(spark)
+    found = {r.other: r for r in similarity.weighted_neighbours(prop, weights, spark.createDataFrame([("S4",)], "entity string"), ann).collect()}
+    two, part = math.log(2), math.log(4 / 3)
+    assert set(found) == {"S1", "S3"} and found["S1"].features == ["hammer", "hitting"] and math.isclose(found["S1"].exact, 0.5)
+    assert math.isclose(found["S1"].score, (two + part) / (2 * two + 2 * part)) and found["S3"].exact == 0
+
+
+def test_pairs_and_merges_match_plain_models(spark):
+    rng = random.Random(11)
+    sets = {i: set(rng.sample(range(12), rng.randint(1, 6))) for i in range(60)}
+    rows = spark.createDataFrame([(i, str(f)) for i, s in sets.items() for f in s], "entity long, feature string")
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    pairs = similarity.jaccard_pairs(rows, 0.5)
+    got = {(r.a, r.b): r.jaccard for r in pairs.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in want)
+    block = {i: {i} for i in sets}
+    for a, b in sorted(want, key=lambda p: (-want[p], p)):
+        x, y = block[a], block[b]
+        if x is not y and all((min(i, j), max(i, j)) in want for i in x for j in y):
+            x |= y
+            block.update({n: x for n in y})
+    clusters = {(min(x), n) for x in block.values() if len(x) > 1 for n in x}
+    assert {tuple(r) for r in identity.complete_link(pairs.select("a", "b", F.col("jaccard").alias("value")), 0.5).collect()} == clusters
+    nodes = [f"{rng.choice('ABXYZ')}:{i}" for i in range(40)]
+    links = [(*rng.sample(nodes, 2), i) for i in range(90)]
+    block = {n: {n} for link in links for n in link[:2]}
+    for a, b, _ in links:
+        x, y = block[a], block[b]
+        if x is not y and not any(i[0] == j[0] and i[0] in "AB" for i in x for j in y):
+            x |= y
+            block.update({n: x for n in y})
+    merged = identity.veto_merge(spark.createDataFrame(links, "a string, b string, ord int"), ["A", "B"])
+    assert {r.node: r.entity for r in merged.collect()} == {n: min(x) for n, x in block.items()}
 
 
 def test_complete_link_does_not_chain(spark):
@@ -159,4 +222,20 @@ def test_last_writer_wins(spark, tmp_path):
     schema = "key long, ord long, value string, deleted boolean"
     write(spark.createDataFrame([(1, 1, "a", False), (2, 1, "b", False)], schema), 0)
     write(spark.createDataFrame([(1, 2, "c", False), (2, 3, "", True)], schema), 1)
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "held")).collect()] == [(1, 2, "c", False)]
+    write(spark.createDataFrame([(2, 2, "late", False)], schema), 2)
+    assert [tuple(r) for r in windows.read_last(spark, str(tmp_path / "held")).collect()] == [(1, 2, "c", False)]
+
+
+def test_search_language(spark):
+    docs = [(11, 1990, "Garden tools for children", "Tools"), (12, 2021, "Tools and oak", None), (13, None, "A tools fair", None), (14, 2021, "Old saws", "Garden Tools"), (15, 2005, "Tool box", "boxes")]
+    index = search.build_index(spark.createDataFrame([(i, t, m) for i, _, t, m in docs], "doc_id int, title string, tag string"), ["title", "tag"])
+    tags = {"title": ["title"], "tag": ["tag"]}
+    asked = {
+        '"garden tools"[title] OR "garden tools"[tag]': {11, 14}, "tools": {11, 12, 13, 14}, "tool*": {11, 12, 13, 14, 15}, "tools NOT garden": {12, 13}, "tools AND (oak OR fair)": {12, 13},
+        "tools[tag] children": {11}, "NOT tools": {15}, "a tools fair": {13}, "n avg": set(),
+    }
+    for text, want in asked.items():
+        assert {r.doc_id for r in search.matching(index, search.parse_query(text, tags)).collect()} == want, text
+    assert search.parse_query("()", tags) is None
+    scores = {r.doc_id: r.score for r in search.weighted_bm25(index, ["garden", "n"], {"title": 1.0, "tag": 3.0}).collect()}
+    assert set(scores) == {11, 14} and scores[14] > scores[11]

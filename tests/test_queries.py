@@ -2,6 +2,11 @@
 
 import datetime
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,3 +51,11 @@ def test_query(spark, duck, name):
     want = duck.sql(plans.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_the_entry_works_without_the_llm_folders(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [q for q in e.queries() if q.startswith('op') or q == 'pipeline'])"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert said.stdout.split() == [str(len(plans.QUERIES)), str(len(plans.ORACLE_SQL)), "[]"], said.stderr
