@@ -212,3 +212,11 @@ def ext_01_tumbling_windows(spark, d):
 @query("with l as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events), g as (select user_id, ts, sum(case when p is null or ts - p >= interval 30 minute then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from l) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from g group by user_id, s")
 def ext_01_sessions(spark, d):
     return windows.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("with w as (select doc_id, source, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null), p as (select doc_id from (select doc_id, w, unnest(range(1, len(w))) as i from w where len(w) > 1) where w[i] = 'of' and w[i + 1] = 'the' group by 1) select w.doc_id from w where doc_id in (select doc_id from p) and source like 'src1%' and not list_contains(w, 'und')")
+def ft_06_field_search(spark, d):
+    """A query with a phrase, fields, brackets and NOT, answered on the index of two fields."""
+    index = search.build_index(table(spark, d, "documents").where("text is not null"), ["text", "source"])
+    asked = search.parse_query('"of the"[tiab] (src1*[so] OR nothing[tiab]) NOT und[tiab]', {"tiab": ["text"], "so": ["source"]})
+    return search.matching(index, asked)
