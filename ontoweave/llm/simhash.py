@@ -226,23 +226,20 @@ class Forest:
         while (self.root != (up := self.root[self.root])).any():
             self.root = up
 
-    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
-        """Which of the links the forest has taken."""
+    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
         order = np.argsort(distance, kind="stable")
-        taken = np.zeros(len(i), bool)
         while True:
             a, b = self.root[i[order]], self.root[j[order]]
             apart = a != b
             order, a, b = order[apart], a[apart], b[apart]
             if not len(order):
-                return taken
+                return
             # Each component's nearest link leaves it for another, so the number of components at least halves.
             first = np.unique(np.concatenate([a, b]), return_index=True)[1] % len(a)
             for at in np.unique(first).tolist():
                 x, y = self._find(a[at]), self._find(b[at])
                 if x != y:
                     self.root[max(x, y)] = min(x, y)
-                    taken[order[at]] = True
                     self.links.append((i[order[at]], j[order[at]], distance[order[at]]))
             self._settle()
 
@@ -252,12 +249,13 @@ class Forest:
         return x
 
 
-def cells(keyed: DataFrame, group_rows: int) -> DataFrame:
+def cells(keyed: DataFrame, group_rows: int, group_bytes: int = 8 << 20) -> DataFrame:
     """``keyed`` (number, key, node, ...) by (number, key, low, high), in sorted partitions: keys of one row are left out, and those
-    of more than ``group_rows`` rows are cut into parts of which each pair meets."""
+    of more than ``group_rows`` rows, or ``group_bytes`` of shingles, are cut into parts of which each pair meets."""
     rest = [c for c in keyed.columns if c not in ("number", "key")]
-    many = keyed.groupBy("number", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    parts = F.ceil(F.col("rows") / F.lit(group_rows)).cast("int")
+    held = F.sum(F.octet_length("shingles")) if "shingles" in rest else F.lit(0)
+    many = keyed.groupBy("number", "key").agg(F.count("*").alias("rows"), held.alias("bytes")).where(F.col("rows") > 1)
+    parts = F.ceil(F.greatest(F.col("rows") / F.lit(group_rows), F.col("bytes") / F.lit(group_bytes))).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = (
         keyed.join(many.select("number", "key", parts.alias("parts")), ["number", "key"])
@@ -349,44 +347,34 @@ def short_links(nodes: DataFrame, similarity: float, group_rows: int = 4_096, ho
                 columns = [pa.array(np.zeros(len(at), np.int32)), pa.array(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at)]
                 yield pa.RecordBatch.from_arrays(columns, names=["number", "key", "node", "shingles"])
 
+    keyed = nodes.select("node", "shingles").mapInArrow(key, "number int, key long, node long, shingles binary")
+    return set_links(keyed.select("number", "key", "node", F.col("node").alias("component"), "shingles"), similarity, group_rows)
+
+
+def set_links(keyed: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """(a, b): links that join, with those of ``component``, exactly what all links of the similarity join between rows of ``keyed``
+    (number, key, node, component, shingles) of one number and key. The work is that of an inverted index of each cell's hashes."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, ends in groups_of(batches):
             node = rows.column(4).to_numpy()
-            forest = Forest(node)
-            for i, j in similar_pairs([np.frombuffer(x, np.int64) for x in rows.column(5).to_pylist()], ends, similarity):
+            forest = Forest(rows.column(5).to_numpy())
+            for i, j in similar_pairs([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column(6)], ends, similarity):
                 forest.add(np.full(len(j), i), j, np.zeros(len(j), np.int64))
             if forest.links:
                 i, j, _ = np.array(forest.links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-    keyed = nodes.select("node", "shingles").mapInArrow(key, "number int, key long, node long, shingles binary")
     return cells(keyed, group_rows).mapInArrow(compare, "a long, b long")
 
 
-class Pairs:
-    """Which rows have been tested against which nodes."""
-
-    def __init__(self, node: np.ndarray, tested: pa.Array):
-        many = tested.value_lengths().to_numpy(zero_copy_only=False)
-        others = tested.flatten().to_numpy()
-        names, number = np.unique(np.concatenate([node, others]), return_inverse=True)
-        self.many, self.number = len(names), number[: len(node)]
-        self.keys = np.unique(np.repeat(np.arange(len(node)), many) * self.many + number[len(node) :])
-
-    def hold(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.isin(i * self.many + self.number[j], self.keys)
-
-
-def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, group_rows: int = 4_096, forests: int = 1) -> DataFrame:
+def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, group_rows: int = 4_096) -> DataFrame:
     """(a, b, distance): links between ``nodes`` (node, fp) that agree on a key table and lie within ``radius``.
 
-    All links are found; those of each group of a key are handed on as ``forests`` spanning forests that share no link. A key
-    with more than ``group_rows`` rows is cut into parts that meet pairwise in groups of their own, so no task holds a whole
-    hot key. Nodes may also have ``component`` and ``tested`` (array of nodes): nothing links within a component, nor a node
-    to one that it has been tested against.
+    All links are found; those of each group of a key are handed on as a spanning forest. A key with more than ``group_rows``
+    rows is cut into parts that meet pairwise in groups of their own, so no task holds a whole hot key.
     """
-    known = [c for c in ("component", "tested") if c in nodes.columns]
-    nodes = nodes.select("node", "fp", *known)
+    nodes = nodes.select("node", "fp")
     tables = [np.array(t) for t in tables]
     width = max(int(t.max()) for t in tables) + 1
 
@@ -403,32 +391,17 @@ def close_links(nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(packed.view("<i8")[:, 0].copy()), *batch.columns], names=["number", "key", *batch.schema.names])
 
     assert width <= 64 * 64 and all(len(t) <= 64 for t in tables)
-    fields = "number int, key long, node long, fp binary" + ", component long, tested array<long>" * bool(known)
-    keyed = nodes.mapInArrow(key, fields)
+    keyed = nodes.mapInArrow(key, "number int, key long, node long, fp binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, ends in groups_of(batches):
             node = rows.column(4).to_numpy()
             fps = np.frombuffer(b"".join(rows.column(5).to_pylist()), ">u8").reshape(len(node), -1).astype(np.uint64)
-            component = rows.column(6).to_numpy() if known else node
-            tested = Pairs(node, rows.column(7)) if known else None
-            stack = []
+            forest = Forest(node)
             for i, j in close_pairs(fps, ends, radius):
-                if known:
-                    left = component[i] != component[j]
-                    i, j = i[left], j[left]
-                    left = ~tested.hold(i, j)
-                    i, j = i[left], j[left]
-                distance = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
-                for nth in range(forests):
-                    if not len(i):
-                        break
-                    if nth == len(stack):
-                        stack.append(Forest(component))
-                    left = ~stack[nth].add(i, j, distance)
-                    i, j, distance = i[left], j[left], distance[left]
-            if links := [link for forest in stack for link in forest.links]:
-                i, j, distance = np.array(links).T
+                forest.add(i, j, np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64))
+            if forest.links:
+                i, j, distance = np.array(forest.links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(distance.astype(np.int32))], names=["a", "b", "distance"])
 
     return cells(keyed, group_rows).mapInArrow(compare, "a long, b long, distance int")
@@ -486,8 +459,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, rec
     Pairs with a set of at most SHORT shingles are found exactly, by short_links(). For others SimHash proposes: the bits of
     two longer sets of that similarity differ at most with a known probability, from which the bands, the number of bits and
     the radius follow, for a chance of ``recall`` at the threshold itself and more above it, whatever the number of rows.
-    Proposals are then held against the true shingle sets, until no untested one is left between groups. Cases as
-    simhash_components().
+    Proposals are then held against the true shingle sets, all of them where true ones do not already join the same groups.
+    Cases as simhash_components().
     """
     tables, words, radius = proposal_plan(docs.count(), largest_flip(SHORT, similarity), recall)
     prints = materialise(fingerprints(docs, k, words, repeats=False, upto=math.floor(SHORT / similarity + 1e-9)), "prints")
@@ -502,39 +475,39 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, rec
 def verified_links(docs: DataFrame, nodes: DataFrame, tables: Sequence[Sequence[int]], radius: int, k: int, similarity: float) -> DataFrame:
     """(a, b): links of true similarity that join all ``nodes`` (node, fp) which the links of close_links() with that similarity join.
 
-    A forest of proposals may hold a false link in place of a true one. So after each round, nodes that proposals join but
-    true links do not are proposed again, in more forests of the links not yet tested, until no such link is left.
+    A forest of proposals may hold a false link in place of a true one. So the sets of nodes that proposals join but true links
+    do not are compared with all others that proposals join them to, by an inverted index. That is quadratic in the nodes
+    of such a component, which is cut into parts that meet pairwise.
     """
-    active, good, bad, forests = nodes, None, None, 1
-    while True:
-        links = close_links(active, tables, radius, forests=forests).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        checked = materialise(_checked(docs, materialise(links.distinct(), "proposed"), k, similarity), "checked")
-        true, false = checked.where("good").select("a", "b"), checked.where("not good").select("a", "b")
-        good, bad = (true, false) if good is None else (good.union(true), bad.union(false))
-        if false.isEmpty():
-            return good
-        found = components(good).withColumnRenamed("component", "mine")
-        reach = good.union(false)
-        wide = reach.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components(reach).withColumnRenamed("component", "reach"), "node", "left").join(found, "node", "left")
-        wide = materialise(wide.select("node", F.coalesce("reach", "node").alias("reach"), F.coalesce("mine", "node").alias("component")), "reach")
-        split = wide.groupBy("reach").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        wide = semi_join_checked(wide, split, "reach").select("node", "component")
-        tested = bad.union(bad.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tested"))
-        active = nodes.join(wide, "node").join(tested, "node", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<long>")))
-        active = materialise(active, "active")
-        if active.isEmpty():
-            return good
-        forests = min(8 * forests, 4_096)
-
-
-def _checked(docs: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The ``links`` (a, b) with ``good``: the documents' shingle sets have the similarity."""
+    links = close_links(nodes, tables, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    checked = materialise(_checked(docs, materialise(links.distinct(), "proposed"), k, similarity), "checked")
+    good = checked.where("good").select("a", "b")
+    mine = components(good).withColumnRenamed("component", "mine")
+    reach = components(checked).withColumnRenamed("component", "reach")
+    wide = reach.join(mine, "node", "left").select("node", "reach", F.coalesce("mine", "node").alias("component"))
+    # The smallest node of a component has no row in components(); it is the smallest of its true component as well.
+    wide = materialise(wide.union(reach.selectExpr("reach", "reach", "reach").distinct()), "reach")
+    split = wide.groupBy("reach").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_ = materialise(semi_join_checked(wide, split, "reach"), "open")
+    keyed = open_.join(shingle_sets(docs, open_, k), "node").select(F.lit(0).alias("number"), F.col("reach").alias("key"), "node", "component", "shingles")
+    return good.union(materialise(set_links(keyed, similarity, 2_048), "settled"))
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): sorted distinct hashes of the texts of the documents ``ids`` (node)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
             made = [np.unique(shingle_hashes(t.as_py() or b"", k)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    return materialise(semi_join_checked(texts, ids, "node").mapInArrow(sets, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
+
+
+def _checked(docs: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The ``links`` (a, b) with ``good``: the documents' shingle sets have the similarity."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -544,9 +517,7 @@ def _checked(docs: DataFrame, links: DataFrame, k: int, similarity: float) -> Da
                 good.append(len(x) + len(y) == 0 or shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    named = semi_join_checked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), ends, "doc_id")
-    shingles = materialise(named.mapInArrow(sets, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
+    shingles = shingle_sets(docs, links.select("a").union(links.select("b")).toDF("node").distinct(), k)
     first = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, good boolean")
