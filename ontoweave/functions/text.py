@@ -45,3 +45,37 @@ def fold(texts: pd.Series) -> pd.Series:
     """NFKD without combining marks, case-folded; Spark has no built-in for it."""
     one = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
     return texts.map(one)
+
+
+# Patterns of personal data in texts and pages.
+PERSONAL = {
+    "addresses": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "hosts": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
+    "phones": r"\+?[0-9]{2,3}[ -][0-9]{3,4}[ -][0-9]{3,4}\b",
+    "trackers": r"[?&](?:utm_source|ref|session|user)=[A-Za-z0-9]+",
+}
+
+
+def personal_counts(text: Column) -> list[Column]:
+    """How often each pattern of PERSONAL occurs, a column each."""
+    return [F.regexp_count(text, F.lit(pattern)).alias(name) for name, pattern in PERSONAL.items()]
+
+
+# Characters that a search term may not hold, and names that are abbreviations.
+BAD_CHARACTERS = r'[\\"“”«»`\x00-\x1f\x7f]'
+ABBREVIATION = r"^[A-Z]{2,6}[0-9]{0,2}[A-Z]?$"
+
+
+def search_term(name: Column) -> Column:
+    """A name without quotes, backslashes and control characters, with single spaces, trimmed of punctuation."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(name, BAD_CHARACTERS, " "), r"\s+", " "), F.lit(" ,.:;-/'"))
+
+
+def usable_term(term: Column, least: int = 4) -> Column:
+    """Not several items in one, and of ``least`` letters or digits at least."""
+    return ~F.contains(term, F.lit(";")) & (F.length(F.replace(word_key(term), F.lit(" "))) >= least)
+
+
+def usable_name(name: Column) -> Column:
+    """Four characters or more, with a word, and neither an abbreviation nor an identifier."""
+    return (word_key(name) != "") & (F.length(name) >= 4) & ~name.rlike(ABBREVIATION) & ~F.contains(name, F.lit(":"))
