@@ -79,3 +79,9 @@ def usable_term(term: Column, least: int = 4) -> Column:
 def usable_name(name: Column) -> Column:
     """Four characters or more, with a word, and neither an abbreviation nor an identifier."""
     return (word_key(name) != "") & (F.length(name) >= 4) & ~name.rlike(ABBREVIATION) & ~F.contains(name, F.lit(":"))
+
+
+def excerpt(text: Column, most: int = 400) -> Column:
+    """The text with single spaces, cut to ``most`` characters of which the last is then an ellipsis."""
+    body = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(body) > most, F.concat(F.rtrim(F.substring(body, 1, most - 1)), F.lit("…"))).otherwise(body)

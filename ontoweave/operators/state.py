@@ -55,3 +55,14 @@ def delta_fold(events: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.when((F.col("kind") == "append") & (F.col("cleared") == 0), F.struct("ord", "text"))))
     folded = later.groupBy("stream").agg(parts.alias("parts"), F.max((F.col("kind") == "complete").cast("int")).alias("complete"))
     return folded.select("stream", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), (F.col("complete") == 1).alias("complete"))
+
+
+def stage_states(events: DataFrame) -> DataFrame:
+    """(job, stage, state, attempts) after a restart, of events (job, stage, ord, kind): queued, running, done or failed.
+
+    A stage once done stays so, as a resumed job skips it; one that was running when all ended has failed; else its last kind
+    counts. Events of a null kind count for nothing.
+    """
+    last = F.max_by("kind", "ord")
+    state = F.when(F.max(F.col("kind") == "done"), "done").when(last == "running", "failed").otherwise(last)
+    return events.where("kind is not null").groupBy("job", "stage").agg(state.alias("state"), F.count_if(F.col("kind") == "running").alias("attempts"))

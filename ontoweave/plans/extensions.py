@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import state
 from ..operators.lineage import shared_dir
 from ..operators.ranges import near_join
 from ..operators.topk import best_per_key, top_per_group
@@ -149,3 +150,16 @@ def ext_03_stream_dedupe(spark, d):
     kept = windows.deduplicated(once.union(once)).select("event_id", "event_type")
     kept.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, event_type string").parquet(target)
+
+
+@query("with e as (select user_id as job, (json_extract_string(props, '$.k')::bigint) % 3 as stage, event_id as ord, case event_type when 'signup' then 'queued' when 'purchase' then 'done' when 'error' then 'failed' else 'running' end as kind from events) select job, stage, case when bool_or(kind = 'done') then 'done' when arg_max(kind, ord) = 'running' then 'failed' else arg_max(kind, ord) end as state, count(*) filter (kind = 'running') as attempts from e group by all")
+def st_03_stage_states(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running")
+    stage = F.from_json("props", "k bigint")["k"] % 3
+    return state.stage_states(table(spark, d, "events").select(F.col("user_id").alias("job"), stage.alias("stage"), F.col("event_id").alias("ord"), kind.alias("kind")))
+
+
+@query("with p as (select doc_id, trim(string_split(text, chr(10))[1]) as title, trim(regexp_replace(text, '\\s+', ' ', 'g')) as body from documents) select doc_id, title, case when length(body) > 400 then rtrim(substr(body, 1, 399)) || '…' else body end as excerpt from p")
+def gr_71_record_projection(spark, d):
+    """Each document's first line and an excerpt of at most 400 characters."""
+    return table(spark, d, "documents").select("doc_id", F.trim(F.split("text", "\n")[0]).alias("title"), text.excerpt(F.col("text")).alias("excerpt"))

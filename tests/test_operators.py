@@ -239,3 +239,22 @@ def test_search_language(spark):
     assert search.parse_query("()", tags) is None
     scores = {r.doc_id: r.score for r in search.weighted_bm25(index, ["garden", "n"], {"title": 1.0, "tag": 3.0}).collect()}
     assert set(scores) == {11, 14} and scores[14] > scores[11]
+
+
+def test_near_join_meets_each_pair_once(spark):
+    from ontoweave.operators.ranges import near_join
+
+    left = [(0, -1.0), (1, 0.0), (2, 0.5), (3, 2.49), (4, None), (5, 0.0)]
+    right = [(0, 0.5), (1, -0.5), (2, 1.0), (3, 2.5), (4, None)]
+    got = near_join(spark.createDataFrame(left, "a int, x double"), spark.createDataFrame(right, "b int, y double"), "x", "y", 0.5).collect()
+    want = [(a, b) for a, x in left for b, y in right if x is not None and y is not None and abs(x - y) <= 0.5]
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
+def test_stage_states(spark):
+    from ontoweave.operators.state import stage_states
+
+    rows = [(1, 0, 1, "queued"), (1, 0, 2, "running"), (1, 1, 1, "running"), (1, 1, 2, "done"), (1, 1, 3, "running"), (2, 0, 1, "queued"), (2, 1, 5, None), (2, 2, 2, "failed"), (2, 2, 1, "running")]
+    got = stage_states(spark.createDataFrame(rows, "job int, stage int, ord int, kind string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, "failed", 1), (1, 1, "done", 2), (2, 0, "queued", 0), (2, 2, "failed", 1)]
+    assert stage_states(spark.createDataFrame([], "job int, stage int, ord int, kind string")).isEmpty()
