@@ -408,3 +408,33 @@ def test_proposals_keep_their_recall_at_any_size(rows):
         met = 1 - (1 - (1 - flip) ** len(tables[0])) ** len(tables)
         differ = np.random.default_rng(1).binomial(64 * words, flip, 100_000)
         assert met - (differ > radius).mean() >= 0.99
+
+
+@pytest.mark.parametrize("group_rows", [3, 2_048])
+def test_set_links_against_brute_force(spark, group_rows):
+    """Links within a key join what true pairs join, whatever the cells, and none within a component or between keys."""
+    from ontoweave.llm.simhash import set_links
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(24, size=rng.integers(10, 20), replace=False)).astype(np.int64) for _ in range(40)]
+    key = [n % 2 for n in range(40)]
+    component = [n - n % 4 + n % 2 if n < 8 else n for n in range(40)]
+    rows = [(0, key[n], n, component[n], bytearray(sets[n].tobytes())) for n in range(40)]
+    keyed = spark.createDataFrame(rows, "number int, key long, node long, component long, shingles binary")
+    found = [(r.a, r.b) for r in set_links(keyed, 0.5, group_rows).collect()]
+
+    def alike(a, b):
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        return key[a] == key[b] and shared >= 0.5 * (len(sets[a]) + len(sets[b]) - shared)
+
+    assert found and all(alike(a, b) and component[a] != component[b] for a, b in found)
+
+    def groups(links):
+        root = list(range(40))
+        for _ in range(40):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    joined = [(n, component[n]) for n in range(40)]
+    assert groups(found + joined) == groups([(a, b) for a in range(40) for b in range(a) if alike(a, b)] + joined)
