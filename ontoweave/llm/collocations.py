@@ -31,40 +31,47 @@ LOWER = bytes(
 )
 
 
-class Words(dict):
-    """Numbers of the words met, in order, and the words' checksums."""
-
-    def __init__(self):
-        self.sums: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.sums)
-        self.sums.append(zlib.crc32(word))
-        return number
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def chunks_of(pieces: list[list[bytes]], spacing: int) -> Iterator[tuple[int, bytes, bool]]:
-    """(number of the piece, chunk, whether it ends the piece) of pieces of one word or more."""
-    flat, words = [w for p in pieces for w in p], Words()
-    numbers = words.numbers(flat)
-    sums = np.array(words.sums, np.int64)[numbers]
-    trigger = np.zeros(len(flat) + 1, bool)
-    trigger[: max(0, len(flat) - 1)] = (sums[:-1] * 31 + sums[1:]) // 7 % spacing == 0
-    marks = np.flatnonzero(trigger)
-    ends = np.array([len(p) for p in pieces], np.int64).cumsum()
-    # Triggers of a piece start after its first word and end by its last.
-    first = np.searchsorted(marks, ends - [len(p) for p in pieces], side="right").tolist()
-    last = np.searchsorted(marks, ends - 1, side="left").tolist()
-    marks, begin = marks.tolist(), 0
-    for i, end in enumerate(ends.tolist()):
-        for t in marks[first[i] : last[i]]:
-            yield i, b" ".join(flat[begin : t + OVERLAP]), False
-            begin = t
-        yield i, b" ".join(flat[begin:end]), True
-        begin = end
+#: A fixed random value of each byte; a word's are summed, which is enough to choose triggers by.
+SPREAD = np.random.default_rng(13).integers(0, 1 << 40, 256)
+
+
+def spans(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte strings data[first[i]:end[i]]."""
+    offsets = np.concatenate([[0], (end - first).cumsum()])
+    at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], end - first)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts in one buffer, a space after each: (buffer, starts, ends, number of the piece, number of the text)."""
+    data = np.frombuffer(b"\n".join(texts).translate(LOWER), np.uint8)
+    inside = np.concatenate([[False], (data != 32) & (data != 10), [False]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    first, size = turns[::2], turns[1::2] - turns[::2]
+    piece = np.searchsorted(np.flatnonzero(data == 10), first)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+    starts = (size + 1).cumsum() - (size + 1)
+    at = np.arange(len(first) + size.sum()) + np.repeat(first - starts, size + 1)
+    held = data[np.minimum(at, max(0, len(data) - 1))]
+    held[starts + size] = 32
+    return held, starts, starts + size, piece, text
+
+
+def chunks_of(texts: list[bytes], spacing: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(chunks, number of each one's text, whether it ends its piece)."""
+    data, first, end, piece, text = words_of(texts)
+    if not len(first):
+        return pa.array([], pa.binary()), text, np.zeros(0, bool)
+    sums = np.concatenate([[0], SPREAD[data].cumsum()])
+    sums = (sums[end] - sums[first]) % (1 << 31)
+    # A chunk begins with a piece or with a trigger, a pair of words of one piece; it ends with its piece or the next trigger.
+    opens = np.concatenate([[True], piece[1:] != piece[:-1]])
+    trigger = np.concatenate([((sums[:-1] * 31 + sums[1:]) // 7 % spacing == 0) & ~opens[1:], [False]])
+    begin = np.flatnonzero(opens | trigger)
+    after = np.concatenate([begin[1:], [len(first)]])
+    last = np.concatenate([opens[begin[1:]], [True]])
+    until = np.where(last, after - 1, after + OVERLAP - 1)
+    return spans(data, first[begin], end[until]), text[begin], last
 
 
 def parse(docs: DataFrame, spacing: int = 8) -> DataFrame:
@@ -72,22 +79,11 @@ def parse(docs: DataFrame, spacing: int = 8) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, 1, 1 << 20):
-            owners, pieces, found = [], [], {}
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for piece in text.translate(LOWER).split(b"\n"):
-                    if words := [w for w in piece.split(b" ") if w]:
-                        owners.append(lang)
-                        pieces.append(words)
-            if not pieces:
-                continue
-            for i, chunk, last in chunks_of(pieces, spacing):
-                key = (owners[i], chunk, last)
-                found[key] = found.get(key, 0) + 1
-            langs, chunks, last = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(last), pa.array(list(found.values()), pa.int64())], names=["lang", "chunk", "last", "times"])
+            chunks, text, last = chunks_of(part.column(1).to_pylist(), spacing)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), chunks, pa.array(last)], names=["lang", "chunk", "last"])
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(run, "lang string, chunk binary, last boolean, times long").groupBy("lang", "chunk", "last").agg(F.sum("times").alias("times"))
+    return texts.mapInArrow(run, "lang string, chunk binary, last boolean").groupBy("lang", "chunk", "last").agg(F.count("*").alias("times"))
 
 
 def slots(sums: list[np.ndarray]) -> np.ndarray:
@@ -117,32 +113,31 @@ def count_grams(dictionary: DataFrame, n: int, parts: bytes | None = None) -> Da
     """(lang, gram, f): n-grams of the dictionary with all their occurrences; with ``parts``, those whose (n-1)-grams have bits there."""
     shared = None if parts is None else dictionary.sparkSession.sparkContext.broadcast(parts)
 
-    def grams(chunks: pa.Array, last: np.ndarray, times: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        split = [c.split(b" ") for c in chunks.to_pylist()]
-        sizes = np.array([len(s) for s in split])
-        flat, words = [w for s in split for w in s], Words()
-        numbers = words.numbers(flat)
-        ends = sizes.cumsum()
-        of = np.repeat(np.arange(len(split)), sizes)
-        place = np.arange(len(flat)) - (ends - sizes)[of]
+    def grams(chunks: list[bytes], last: np.ndarray, times: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        # Chunks hold single spaces only, so the texts' words are the chunks' in order.
+        data, first, end, of, _ = words_of(chunks)
+        coded = spans(data, first, end).dictionary_encode()
+        numbers, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        sizes = np.bincount(of, minlength=len(chunks))
+        place = np.arange(len(first)) - (sizes.cumsum() - sizes)[of]
         # Starts before the closing trigger, or anywhere in the last chunk of a piece.
         starts = np.flatnonzero((place + n <= sizes[of]) & (last[of] | (place < sizes[of] - OVERLAP)))
         columns = [numbers[starts + i] for i in range(n)]
         if shared is not None:
-            bits, sums = np.frombuffer(shared.value, np.uint8), np.array(words.sums, np.int64)
+            bits, sums = np.frombuffer(shared.value, np.uint8), np.fromiter(map(zlib.crc32, known.to_pylist()), np.int64, len(known))
             good = np.ones(len(starts), bool)
-            for first in range(2):
-                slot = slots([sums[c] for c in columns[first : first + n - 1]])
+            for part in range(2):
+                slot = slots([sums[c] for c in columns[part : part + n - 1]])
                 good &= (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
             starts, columns = starts[good], [c[good] for c in columns]
         key = columns[0]
-        for c in columns[1:]:  # numbers of words fit 20 bits or so; ranks keep longer keys short
-            key = np.unique(key, return_inverse=True)[1] * len(words.sums) + c
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        # Whole numbers: weights of bincount would be floating point.
-        held = np.zeros(len(first), np.int64)
-        np.add.at(held, inverse, times[of[starts]])
-        return [b" ".join(flat[s : s + n]) for s in starts[first].tolist()], held
+        for c in columns[1:]:  # ranks keep the keys of three words within 64 bits
+            key = np.unique(key, return_inverse=True)[1] * len(known) + c
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        held = np.add.reduceat(times[of[starts[order]]], heads) if len(heads) else np.zeros(0, np.int64)
+        at = starts[order[heads]]
+        return spans(data, first[at], end[at + n - 1]), held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, 1):
@@ -150,9 +145,8 @@ def count_grams(dictionary: DataFrame, n: int, parts: bytes | None = None) -> Da
             code = langs.indices.to_numpy(zero_copy_only=False)
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 mine = part.take(pa.array(np.flatnonzero(code == i)))
-                found, held = grams(mine.column(1), mine.column(2).to_numpy(zero_copy_only=False), mine.column(3).to_numpy())
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(held)], names=["lang", "gram", "f"])
+                found, held = grams(mine.column(1).to_pylist(), mine.column(2).to_numpy(zero_copy_only=False), mine.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found, pa.array(held)], names=["lang", "gram", "f"])
 
     counted = dictionary.select("lang", "chunk", "last", "times").mapInArrow(run, "lang string, gram binary, f long")
     return counted.groupBy("lang", "gram").agg(F.sum("f").alias("f"))
