@@ -51,13 +51,15 @@ def _weight(column: str, weights: Mapping[str, float]) -> Column:
 
 def leaf_budgets(leaves: DataFrame, share: float, epochs: int, weights: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens) with ``budget`` in whole tokens."""
-    sizes = leaves.withColumn("capacity", F.col("tokens").cast("double") * epochs)
-    weighed = lambda df, c: df.withColumn("weight", _weight(c, weights.get(c, {})))
+    # A child of weight zero can use nothing, so it offers its parent no capacity either.
+    weighed = lambda df, c: df.withColumn("weight", _weight(c, weights.get(c, {}))).withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0.0)))
+    upward = lambda df, *by: df.groupBy(*by).agg(F.sum("capacity").alias("capacity"))
+    sizes = weighed(leaves.withColumn("capacity", F.col("tokens").cast("double") * epochs), "source").drop("weight")
+    langs = weighed(upward(sizes, "domain", "lang"), "lang")
     total = leaves.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    domains = sizes.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("root", F.lit(0)).withColumn("budget", F.lit(math.floor(total * share) * 1.0))
+    domains = upward(langs, "domain").withColumn("root", F.lit(0)).withColumn("budget", F.lit(math.floor(total * share) * 1.0))
     domains = divide(weighed(domains, "domain"), ["root"], "domain").select("domain", F.col("given").alias("budget"))
-    langs = sizes.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).join(domains, "domain")
-    langs = divide(weighed(langs, "lang"), ["domain"], "lang").select("domain", "lang", F.col("given").alias("budget"))
+    langs = divide(langs.join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("given").alias("budget"))
     found = divide(weighed(sizes.join(langs, ["domain", "lang"]), "source"), ["domain", "lang"], "source")
     return found.select(*LEAF, "tokens", F.floor("given").cast("long").alias("budget"))
 
@@ -106,7 +108,7 @@ def mix(
     The budget is ``share`` of all tokens and no document is used more than ``epochs`` times. Null names count as '';
     null and empty texts have no tokens and cost nothing; a null doc_id is ordered as the word null; rows that repeat a
     doc_id with as many tokens are used alike; an empty table gives no rows. With ``carry`` all columns of ``docs`` are
-    returned, once for each use. Only the rows' sizes are shuffled: a document compares its own order key with its leaf's cut.
+    returned, once for each use. A name of weight zero gets nothing, and what it holds counts for no capacity above it. Only the rows' sizes are shuffled: a document compares its own order key with its leaf's cut.
     """
     name = lambda c: F.coalesce(c, F.lit(""))
     leaf = [name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source")]

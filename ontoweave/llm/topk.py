@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,22 @@ from .vectors import dense, shape_of
 
 
 def scaled(matrix: np.ndarray, scale: float) -> np.ndarray:
-    """Components as whole numbers, still in floating point: every finite one has its exact value there."""
-    return np.floor(scale * matrix)
+    """Components as whole numbers: in floating point, where that holds every one exactly, or as unbounded integers."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(scale * matrix)
+    if np.isfinite(whole).all():
+        return whole
+    exact = np.frompyfunc(lambda x: math.floor(Fraction(x) * Fraction(scale)), 1, 1)
+    return exact(matrix).astype(object)
 
 
 def comparable(rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both in a type in which their inner products are exact: floating point, 64-bit or unbounded integers."""
     most = [int(np.abs(x).max(initial=0)) for x in (rows, queries)]
     bound = most[0] * most[1] * max(1, rows.shape[1])
-    if bound < 1 << 53:
+    if bound < 1 << 53 and rows.dtype != object and queries.dtype != object:
         return rows, queries
-    if bound < 1 << 63:
+    if max(bound, *most) < 1 << 63:
         return rows.astype(np.int64), queries.astype(np.int64)
     whole = np.frompyfunc(int, 1, 1)
     return whole(rows).astype(object), whole(queries).astype(object)
@@ -81,7 +87,7 @@ def threshold_top(rows: np.ndarray, order: np.ndarray, query: np.ndarray, k: int
     return found, scores, met_rows
 
 
-def _blocks(vectors: DataFrame, width: int, scale: float, size: int) -> DataFrame:
+def _blocks(vectors: DataFrame, width: int, size: int) -> DataFrame:
     """(block, ids, rows): up to ``size`` usable rows of a partition packed into one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +101,7 @@ def _blocks(vectors: DataFrame, width: int, scale: float, size: int) -> DataFram
 
         for batch in batches:
             ids, matrix = dense(batch.column(0), batch.column(1), width)
-            held_ids, held = np.concatenate([held_ids, ids]), np.concatenate([held, scaled(matrix, scale)])
+            held_ids, held = np.concatenate([held_ids, ids]), np.concatenate([held, matrix])
             while len(held_ids) >= size:
                 yield packed(held_ids[:size], held[:size])
                 held_ids, held = held_ids[size:], held[size:]
@@ -138,8 +144,8 @@ def top_k_inner(queries: DataFrame, vectors: DataFrame, k: int, scale: float = 1
     query_lanes = max(1, math.ceil(queries.count() / lane_queries))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     mine = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    left = _blocks(vectors, width, scale, block).select(mine(row_lanes).alias("row_lane"), every(query_lanes).alias("query_lane"), F.lit(1).alias("kind"), "block", "ids", "rows")
-    asking = _blocks(queries, width, scale, min(block, lane_queries)).select(every(row_lanes).alias("row_lane"), mine(query_lanes).alias("query_lane"), F.lit(0).alias("kind"), "block", "ids", "rows")
+    left = _blocks(vectors, width, block).select(mine(row_lanes).alias("row_lane"), every(query_lanes).alias("query_lane"), F.lit(1).alias("kind"), "block", "ids", "rows")
+    asking = _blocks(queries, width, min(block, lane_queries)).select(every(row_lanes).alias("row_lane"), mine(query_lanes).alias("query_lane"), F.lit(0).alias("kind"), "block", "ids", "rows")
     # A task may have many cells; their number alone grows with the product of both tables.
     tasks = min(row_lanes * query_lanes, 8 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cells = left.unionByName(asking).repartition(tasks, "row_lane", "query_lane").sortWithinPartitions("row_lane", "query_lane", "kind", "block")
@@ -163,9 +169,11 @@ def top_k_inner(queries: DataFrame, vectors: DataFrame, k: int, scale: float = 1
                 ids = np.frombuffer(batch.column(4)[i].as_buffer(), np.int64)
                 rows = np.frombuffer(batch.column(5)[i].as_buffer(), np.float64).reshape(-1, width)
                 if batch.column(2)[i].as_py() == 0:  # a cell's queries come before its candidates
-                    lane.append((ids, rows, [Best(k) for _ in ids]))
+                    lane.append((ids, scaled(rows, scale), [Best(k) for _ in ids]))
                     continue
+                # Whole numbers are in the order of the components.
                 order = np.ascontiguousarray(rows.argsort(axis=0, kind="stable").T)
+                rows = scaled(rows, scale)
                 spare = 1 + len(ids) - len(np.unique(ids))  # the query itself and repeated ids
                 for query_ids, query_rows, best in lane:
                     exact, asked = comparable(rows, query_rows)

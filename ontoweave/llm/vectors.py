@@ -17,6 +17,15 @@ class Shape(NamedTuple):
     top_norm: float
 
 
+def norms(matrix: np.ndarray) -> np.ndarray:
+    """Lengths of rows of any finite components; squares are taken of rows at the scale of their largest component."""
+    if not matrix.size:
+        return np.zeros(len(matrix))
+    top = np.abs(matrix).max(axis=1)
+    with np.errstate(over="ignore"):
+        return top * np.sqrt(((matrix / np.where(top > 0, top, 1.0)[:, None]) ** 2).sum(axis=1))
+
+
 def dense(ids: pa.Array, lists: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and a float64 matrix of the rows with an id and a list without null or non-finite components.
 
@@ -45,7 +54,7 @@ def shape_of(vectors: DataFrame) -> Shape:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, matrix = dense(batch.column(0), batch.column(1))
-            top = float(np.sqrt((matrix * matrix).sum(axis=1)).max(initial=0.0))
+            top = float(norms(matrix).max(initial=0.0))
             yield pa.RecordBatch.from_pydict({"rows": [len(ids)], "width": [matrix.shape[1]], "top": [top]})
 
     made = vectors.select("vec_id", "embedding").mapInArrow(run, "rows long, width long, top double")

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every dealt operator."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,14 +117,18 @@ def test_top_k_edges(spark):
     huge = spark.createDataFrame([(0, [1e-3, -1e300]), (1, [2.0, 1e300]), (2, [1.0, 0.0]), (3, [4.0, 1.0])], "vec_id long, embedding array<double>")
     got = topk.top_k_inner(huge.where("vec_id = 0"), huge, k=3).toPandas().sort_values("rank")
     assert got.vec_id.tolist() == [2, 1, 3] and got.score.tolist() == [1024, -(2**63), -(2**63)]
+    # 1024 times a component is beyond the range of a double.
+    most = spark.createDataFrame([(0, [1e-300, 0.0]), (1, [1e306, -1e306]), (2, [1.7e308, 0.25]), (3, [-0.5, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k_inner(most, most, k=1, block=2).toPandas().set_index("query_id")
+    assert got.vec_id.to_dict() == {0: 1, 1: 2, 2: 1, 3: 0} and got.score[1] == 2**63 - 1
     assert topk.top_k_inner(table.limit(0), table, k=3).count() == 0
     assert topk.top_k_inner(table.limit(0), table.limit(0), k=3).count() == 0
 
 
 def test_nearest_edges(spark):
-    table = vectors(spark).where("vec_id is null or vec_id <> 11")
+    table = vectors(spark)
     got = ann.nearest(table.where("vec_id in (0, 3, 6)"), table, k=20).toPandas().sort_values(["query_id", "rank"])
-    assert got.vec_id.tolist() == [9, 1, 2, 10] and set(got.query_id) == {0}
+    assert got.vec_id.tolist() == [11, 9, 1, 2, 10] and set(got.query_id) == {0}
     assert ann.nearest(table, table.limit(0), k=3).count() == 0
     assert ann.nearest(table.limit(0), table, k=3).count() == 0
 
@@ -161,3 +167,48 @@ def test_url_edges(spark):
     assert sorted(x.rule or "" for x in got.itertuples() if x.page_id == 7) == ["", "com/"]
     assert url_reputation.judge_urls(pages, labels.limit(0)).count() == len(urls)
     assert url_reputation.judge_urls(pages.limit(0), labels).count() == 0
+
+
+def recall_of(spark, matrix, k=20):
+    """Recall of every 20th row's ``k`` nearest, and the least number of rows that a query got."""
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(matrix)), "embedding": matrix.tolist()}), "vec_id long, embedding array<double>")
+    got = ann.nearest(table.where("vec_id % 20 = 0"), table, k).toPandas().groupby("query_id").vec_id.agg(list)
+    asking = np.arange(0, len(matrix), 20)
+    with np.errstate(over="ignore"):
+        scores = matrix[asking] @ matrix.T
+    scores[np.arange(len(asking)), asking] = -np.inf
+    true = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.mean([len(set(t) & set(got[q])) / k for q, t in zip(asking, true, strict=True)]), min(map(len, got))
+
+
+@pytest.mark.parametrize("kind", ["even", "varied norms", "clusters", "one long row", "one huge row"])
+def test_recall_on_other_shapes(spark, kind):
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=(4000, 16))
+    if kind == "varied norms":
+        matrix *= np.exp(1.5 * rng.normal(size=(4000, 1)))
+    if kind == "clusters":
+        matrix = 0.1 * matrix + rng.normal(size=(20, 16))[rng.integers(0, 20, 4000)]
+    if kind.startswith("one"):
+        matrix[77] = 0
+        matrix[77, 0] = 1e4 if kind == "one long row" else 1e200
+    recall, least = recall_of(spark, matrix)
+    assert recall >= 0.9 and least == 20
+
+
+def test_samples_are_bounded(spark):
+    nulls = spark.range(0, 200_000).select(F.lit(None).cast("long").alias("vec_id"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("embedding"))
+    one = spark.range(0, 50_000).select(F.lit(4).cast("long").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    many = spark.range(0, 3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("embedding"))
+    table = nulls.unionByName(one).unionByName(many)
+    assert ann.draw_sample(nulls, 0, 1000).count() == 0
+    assert ann.draw_sample(table, 53_000, 1000).count() <= 2000
+
+
+def test_weights_of_zero_strand_no_budget(spark):
+    rows = [("d0", "en", "x0", 100), ("d0", "de", "x0", 10), ("d1", "de", "x1", 100)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    got = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(leaves, 0.5, 1, {"lang": {"en": 0.0}}).collect()}
+    assert got == {("d0", "de"): 10, ("d0", "en"): 0, ("d1", "de"): 95}
+    got = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(leaves, 1.0, 1, {"domain": {"d1": 0.0}, "source": {"x0": 0.0}}).collect()}
+    assert set(got.values()) == {0}
