@@ -1,4 +1,4 @@
 """Queries of the library bound to the driver's tables; importing this registers them."""
 
-from . import extensions, graphs, rankings, records, relational, texts  # noqa: F401
+from . import extensions, graphs, phrases, rankings, records, relational, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
