@@ -1,4 +1,4 @@
 """Queries of the library bound to the driver's tables; importing this registers them."""
 
-from . import bridges, extensions, graphs, phrases, rankings, records, relational, snapshots, texts  # noqa: F401
+from . import bridges, extensions, files, graphs, phrases, rankings, records, relational, snapshots, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

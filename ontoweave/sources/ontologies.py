@@ -83,13 +83,13 @@ def gene_names(spark: SparkSession, path: str) -> DataFrame:
     return found.select("hgnc_id", F.upper(F.trim("name")).alias("name"), "kind").where("name <> ''").distinct()
 
 
-def cases(spark: SparkSession, path: str) -> DataFrame:
-    """(id, disease, observed, excluded) of patient records in JSON, one row for each diagnosed disease."""
+def cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, disease, observed, excluded) of patient records in JSON, one row for each diagnosed disease; a record a file, or a line."""
     schema = (
         "id string, phenotypicFeatures array<struct<type:struct<id:string>,excluded:boolean>>, diseases array<struct<term:struct<id:string>>>,"
         "interpretations array<struct<diagnosis:struct<disease:struct<id:string>>>>"
     )
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    rows = spark.read.schema(schema).json(path, multiLine=not lines)
     features = F.coalesce("phenotypicFeatures", F.array().cast("array<struct<type:struct<id:string>,excluded:boolean>>"))
     terms = lambda wanted: F.array_distinct(F.transform(F.filter(features, lambda f: F.coalesce(f["excluded"], F.lit(False)) == wanted), lambda f: f["type"]["id"]))
     named = F.filter(F.transform("interpretations", lambda i: i["diagnosis"]["disease"]["id"]), lambda x: x.isNotNull())
