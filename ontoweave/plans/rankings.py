@@ -6,6 +6,8 @@ entity is its nation, segment and class of balance, so that some entries share o
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,26 +19,28 @@ from .registry import query, table
 
 
 def _lines(spark, d):
-    return table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("o_orderkey = l_orderkey"))
+    """What the cases read of lines and orders, settled: several steps aggregate it."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
+    return settle(li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.expr("o_orderkey = l_orderkey")).drop("l_orderkey", "o_orderkey"), "lines")
 
 
 def _prefixed(prefix, column):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def _asked(spark, d):
-    best = _lines(spark, d).groupBy("o_custkey", "l_partkey").agg(F.max("l_extendedprice").alias("price"))
+def _asked(lines):
+    best = lines.groupBy("o_custkey", "l_partkey").agg(F.max("l_extendedprice").alias("price"))
     top = top_per_group(best, ["o_custkey"], [F.desc("price"), "l_partkey"], 3)
     return top.select(F.col("o_custkey").alias("case"), _prefixed("part:", "l_partkey").alias("term"))
 
 
-def _genes(spark, d):
-    best = _lines(spark, d).groupBy("o_custkey", "l_suppkey").agg(F.max("l_extendedprice").alias("price"))
+def _genes(lines):
+    best = lines.groupBy("o_custkey", "l_suppkey").agg(F.max("l_extendedprice").alias("price"))
     return top_per_group(best, ["o_custkey"], [F.desc("price"), "l_suppkey"], 1).select(F.col("o_custkey").alias("case"), _prefixed("supplier:", "l_suppkey").alias("gene"))
 
 
-def _gene_links(spark, d):
-    links = _lines(spark, d).where("l_discount >= 0.085").groupBy("l_suppkey", "o_custkey").agg((F.max("l_discount") >= 0.095).alias("causal"))
+def _gene_links(lines):
+    links = lines.where("l_discount >= 0.085").groupBy("l_suppkey", "o_custkey").agg((F.max("l_discount") >= 0.095).alias("causal"))
     return links.select(_prefixed("supplier:", "l_suppkey").alias("gene"), _prefixed("customer:", "o_custkey").alias("entity"), "causal")
 
 
@@ -50,14 +54,18 @@ class Cases:
 
     def __init__(self, spark, d, damped=False):
         self.closed, self.annotations, self.propagated, self.weights = index(spark, d)
-        self.asked = settle(_asked(spark, d), "asked")
+        lines = _lines(spark, d)
+        self.asked = settle(_asked(lines), "asked")
         self.excluded = spark.createDataFrame([("type:PROMO",)], "term string")
-        genes, links = _genes(spark, d), _gene_links(spark, d)
+        genes, links = settle(_genes(lines), "genes"), settle(_gene_links(lines), "gene-links")
         self.among = settle(ranking.candidates(self.asked, self.propagated, genes, links), "among")
-        self.coverage = ranking.annotation_coverage(self.asked, self.annotations, self.weights, self.closed, self.among, self.excluded)
         scored = ranking.rank_entities(self.asked, self.propagated, self.weights, self.closed, self.among, self.excluded, self.coverage if damped else None)
         self.ranked = ranking.merge_names(scored.withColumn("score", F.round("score", 9)), _names(spark, d), self.annotations, genes, links)
 
+    @cached_property
+    def coverage(self):
+        return ranking.annotation_coverage(self.asked, self.annotations, self.weights, self.closed, self.among, self.excluded)
+
     def top(self, n):
         """(case, id): the first ``n`` entries of each case with all their entities."""
         rows = settle(self.ranked.where(F.col("rank") <= n), "top")
@@ -142,7 +150,7 @@ def gr_10_dedupe_ranking(spark, d):
     """Entries of one nation and segment are one, the first of them."""
     cases, ranked = _pinned(spark, d)
     keys = _names(spark, d).select("entity", F.col("wide").alias("key"))
-    found = ranking.dedupe_ranking(ranked.withColumn("xrefs", F.array().cast("array<string>")), keys)
+    found = ranking.dedupe_ranking(ranked.withColumn("xrefs", F.array().cast("array<string>")), keys, most=100)
     return found.select("case", "entity", "rank", F.size("xrefs").alias("merged"))
 
 
