@@ -13,7 +13,8 @@ from ..operators.lineage import shared_dir
 from ..operators.ranges import near_join
 from ..operators.topk import best_per_key, top_per_group
 from ..streaming import windows
-from .registry import query, table
+from . import texts  # noqa: F401  # registers the counter whose SQL the stream shares
+from .registry import ORACLE_SQL, query, table
 
 
 @query("select l_returnflag, l_linestatus, count(*) as n, count(distinct l_suppkey) as suppliers, round(quantile_cont(l_quantity, 0.5), 6) as median from lineitem group by rollup (l_returnflag, l_linestatus) having count(*) > 10")
@@ -163,3 +164,20 @@ def st_03_stage_states(spark, d):
 def gr_71_record_projection(spark, d):
     """Each document's first line and an excerpt of at most 400 characters."""
     return table(spark, d, "documents").select("doc_id", F.trim(F.split("text", "\n")[0]).alias("title"), text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(ORACLE_SQL["st_01_fixed_window_counter"])
+def ext_03_stateful_counter(spark, d):
+    """The window counter as a stream with expiring state; the events come in four files, one a batch, in the order of time."""
+    path = f"{shared_dir(spark)}/counter-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    ends = e.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    if ends["lo"] is None:
+        return spark.createDataFrame([], "key long, at long, id long, hits long, allowed boolean")
+    step = (ends["hi"] - ends["lo"]) // 4 + 1
+    for i in range(4):
+        e.where(F.floor((F.col("at") - ends["lo"]) / step) == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    counted = windows.streamed_counter(stream, 86_400, 3)
+    counted.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key long, at long, id long, hits long, allowed boolean").parquet(f"{path}/out")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshot import file_system, replace
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a folder of Parquet files with the events' schema."""
@@ -33,37 +40,92 @@ def deduplicated(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def last_writer(target: str):
+BUCKETS = 16
+
+
+def last_writer(target: str, buckets: int = BUCKETS):
     """A foreachBatch writer that keeps the last version of each key (columns key, ord, value, deleted) below ``target``.
 
-    Every batch makes a new version of the table in a folder named by its number, complete once Spark's _SUCCESS is in it, so a
-    crash leaves the version before and a repeated batch writes its own folder again. Deletions stay as rows with
-    their order: a late older version can't bring a key back. read_last() shows the rows that are not deleted.
+    Keys are in buckets by hash. A batch writes the buckets that its keys are in, below ``batch=n``, and then a small file that
+    says in which batch's folder each bucket stands; so a few changed keys cost their buckets alone, a crash leaves the former
+    state, and a repeated batch starts again from the state before it. Folders that neither this state nor the one before
+    names are dropped. Deletions stay as rows with their order: a late older version can't bring a key back. read_last() shows
+    the rows that are not deleted. The number of buckets of a target must not change.
     """
     from ..operators.topk import best_per_key
 
     def write(batch: DataFrame, number: int) -> None:
-        held = _version(batch.sparkSession, target, number)
-        rows = batch if held is None else held.unionByName(batch)
-        best_per_key(rows, ["key"], [F.desc("ord"), F.desc("deleted")]).write.mode("overwrite").parquet(f"{target}/version={number}")
+        spark = batch.sparkSession
+        rows = batch.select("*", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"))
+        rows.persist()
+        try:
+            touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # as many as there are buckets at most
+            system, root = file_system(target)
+            states = _states(system, root)
+            before = max((n for n in states if n < number), default=None)
+            held = {} if before is None else states[before]
+            paths = [f"{target}/batch={held[b]}/bucket={b}" for b in touched if b in held]
+            if paths:
+                rows = rows.unionByName(spark.read.schema(batch.schema).option("basePath", target).parquet(*paths).select(*batch.columns).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
+            last = best_per_key(rows, ["key"], [F.desc("ord"), F.desc("deleted")])
+            last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
+        finally:
+            rows.unpersist()
+        now = held | {b: number for b in touched}
+        replace(system, f"{root}/state-{number}.json", json.dumps(now).encode())
+        for n in [n for n in states if n < number and n != before]:
+            system.delete_file(f"{root}/state-{n}.json")
+        named = {*now.values(), *held.values()}
+        for info in system.get_file_info(fs.FileSelector(root)):
+            if info.base_name.startswith("batch=") and int(info.base_name.removeprefix("batch=")) not in named:
+                system.delete_dir(info.path)
 
     return write
 
 
-def _version(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The last complete version of those before a batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [str(s.getPath().getName()) for s in files.listStatus(path)] if files.exists(path) else []
-    numbers = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
-    for number in reversed(numbers):
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number}/_SUCCESS")
-        if (before is None or number < before) and files.exists(done):
-            return spark.read.parquet(f"{target}/version={number}")
-    return None
+def _states(system: fs.FileSystem, root: str) -> dict[int, dict[int, int]]:
+    """Of each batch that is known whole, the batch in whose folder each bucket stands."""
+    names = [i.base_name for i in system.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    numbers = [int(n[6:-5]) for n in names if n.startswith("state-") and n.endswith(".json")]
+    read = lambda n: json.loads(system.open_input_stream(f"{root}/state-{n}.json", compression=None).read())
+    return {n: {int(b): at for b, at in read(n).items()} for n in numbers}
 
 
 def read_last(spark: SparkSession, target: str) -> DataFrame | None:
-    """(key, ord, value, deleted) of the keys that last_writer() holds; None before the first batch."""
-    held = _version(spark, target)
-    return None if held is None else held.where("not deleted")
+    """(key, ord, value, deleted) of the keys that last_writer() holds; None before the first batch with rows."""
+    states = _states(*file_system(target))
+    held = states[max(states)] if states else {}
+    if not held:
+        return None
+    return spark.read.option("basePath", target).parquet(*(f"{target}/batch={n}/bucket={b}" for b, n in sorted(held.items()))).drop("batch", "bucket").where("not deleted")
+
+
+def streamed_counter(events: DataFrame, window: int, most: int, late: str = "0 seconds") -> DataFrame:
+    """fixed_window_counter() as a stream: (key, at, id, hits, allowed) of events (key, at, id, ts), ``at`` being whole seconds of ``ts``.
+
+    A key's state is the end of its window and its hits. It expires once the watermark has passed that end, as the next hit then
+    opens a window in any case. The events of a batch are counted in the order of time; those of later batches come after
+    them, and events behind the watermark are left out.
+    """
+
+    def count(key: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        reset, n = state.get if state.exists else (0, 0)
+        rows = pd.concat(pieces).sort_values(["at", "id"])  # a key's rows of one batch, which the trigger bounds
+        hits = []
+        for at in rows["at"].tolist():
+            if reset <= at:
+                reset, n = at + window, 0
+            n += 1
+            hits.append(n)
+        if reset * 1000 > state.getCurrentWatermarkMs():
+            state.update((reset, n))
+            state.setTimeoutTimestamp(reset * 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": rows["key"], "at": rows["at"], "id": rows["id"], "hits": hits, "allowed": [h <= most for h in hits]})
+
+    rows = events.where("at is not null").withWatermark("ts", late).select(*(F.col(c).cast("long").alias(c) for c in ("key", "at", "id")), "ts")
+    return rows.groupBy("key").applyInPandasWithState(count, "key long, at long, id long, hits long, allowed boolean", "reset long, hits long", "append", "EventTimeTimeout")
