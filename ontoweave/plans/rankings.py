@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ontology, ranking, similarity
+from ..operators import ontology, profiles, ranking, similarity
 from ..operators.lineage import settle
 from ..operators.topk import top_per_group
 from .bindings import ONTOLOGY_SQL, annotations, closed, index
@@ -274,3 +274,32 @@ def jn_09_closure_join(spark, d):
 def set_03_recursive_union(spark, d):
     """What the recursive union of a hierarchy's edges says of each node."""
     return closed(spark, d).groupBy(F.col("ancestor").alias("node")).agg(F.count_if(F.col("depth") == 1).alias("children"), (F.count("*") - 1).alias("below"), F.max("depth").alias("height"))
+
+
+@query(ONTOLOGY_SQL + """, seg as (select c_mktsegment, row_number() over (order by c_mktsegment) - 1 as place from (select distinct c_mktsegment from customer)),
+feat as (select distinct c_mktsegment as cohort, c_custkey as patient, 'part:' || l_partkey as term, l_returnflag = 'R' as excluded from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey),
+prof as (select c_mktsegment as cohort, 'part:' || p_partkey as term, p_size / 50.0::double as freq from part join seg on p_size % 5 = place
+  union all select distinct c_mktsegment, 'brand:' || p_brand, 0.9::double from part join seg on substr(p_brand, 7)::int % 5 = place),
+sz as (select cohort, count(distinct patient) as patients from feat group by 1), ob as (select cohort, term, count(*) as n from feat where not excluded group by all),
+st as (select distinct cohort, ancestor as term from prof join closed on term = descendant),
+br as (select distinct ob.cohort, ob.term from ob join closed on ob.term = descendant join prof on prof.cohort = ob.cohort and prof.term = ancestor join weights on weights.term = prof.term where specificity >= 0.35),
+t as (select ob.*, patients, st.term is not null as s, br.term is not null as b, n >= greatest(2.0, 0.25 * patients) as often from ob join sz using (cohort) left join st on st.cohort = ob.cohort and st.term = ob.term left join br on br.cohort = ob.cohort and br.term = ob.term),
+r as (select cohort, sum(case when s then n else 0 end)::double / sum(n) as recall, sum(case when s or b then n else 0 end)::double / sum(n) as lenient, count(*) filter (where often and s)::double / nullif(count(*) filter (where often), 0) as common_recall from t group by 1),
+h as (select cohort, term, count(*) as has from (select distinct prof.cohort, prof.term, patient from prof join closed on prof.term = ancestor join feat on feat.cohort = prof.cohort and feat.term = descendant and not excluded) group by all),
+k as (select cohort, term, count(*) as lacks from (select distinct prof.cohort, prof.term, patient from prof join closed on prof.term = descendant join feat on feat.cohort = prof.cohort and feat.term = ancestor and excluded) group by all),
+a as (select prof.*, coalesce(has, 0) as has, coalesce(lacks, 0) as lacks from prof left join h using (cohort, term) left join k using (cohort, term))
+select cohort, any_value(patients) as patients, count(*) as terms, round(any_value(recall), 6) as recall, round(any_value(lenient), 6) as lenient, round(any_value(common_recall), 6) as common_recall,
+  round(count(*) filter (where has > 0)::double / nullif(count(*) filter (where has + lacks > 0), 0), 6) as supported, count(*) filter (where freq >= 0.8 and has + lacks >= 3 and lacks * 2 > has + lacks) as contradicted
+from a join sz using (cohort) left join r using (cohort) group by cohort""")
+def o_agg_18_profile_scores(spark, d):
+    """Segments as cohorts of customers: parts ordered are observed or, when returned, excluded; profiles are parts by size and brands."""
+    shut, _, _, weights = index(spark, d)
+    segment = table(spark, d, "customer").select("c_mktsegment").distinct()
+    placed = segment.select(F.col("c_mktsegment").alias("cohort"), (F.row_number().over(Window.orderBy("c_mktsegment")) - 1).alias("place"))  # a few segments
+    lines = table(spark, d, "customer").join(table(spark, d, "orders"), F.expr("c_custkey = o_custkey")).join(table(spark, d, "lineitem"), F.expr("o_orderkey = l_orderkey"))
+    features = lines.select(F.col("c_mktsegment").alias("cohort"), F.col("c_custkey").alias("patient"), _prefixed("part:", "l_partkey").alias("term"), (F.col("l_returnflag") == "R").alias("excluded"))
+    part = table(spark, d, "part")
+    parts = part.join(placed, F.col("p_size") % 5 == F.col("place")).select("cohort", _prefixed("part:", "p_partkey").alias("term"), (F.col("p_size") / 50.0).alias("freq"))
+    brands = part.select("p_brand").distinct().join(placed, F.substring("p_brand", 7, 9).cast("int") % 5 == F.col("place")).select("cohort", _prefixed("brand:", "p_brand").alias("term"), F.lit(0.9).alias("freq"))
+    found = profiles.score_profiles(parts.unionByName(brands), features, shut, weights)
+    return found.select("cohort", "patients", "terms", *(F.round(c, 6).alias(c) for c in ("recall", "lenient", "common_recall", "supported")), "contradicted")
