@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import settle
@@ -194,7 +194,22 @@ def phrase_docs(docs: DataFrame, phrase: Sequence[str]) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-def label_boost(score: Column, label: Column, query: str, exact: float = 2.0, beginning: float = 1.5) -> Column:
-    """A score raised where the label is the query or begins with it."""
-    q, name = F.lit(" ".join(query.split()).lower()), F.lower(F.trim(label))
-    return score * F.when(name == q, exact).when(F.startswith(name, q), beginning).otherwise(1.0)
+def name_search(names: DataFrame, query: str, n: int, label_bonus: float = 0.5) -> DataFrame:
+    """(place, id, label): the first ``n`` entries for a free text among names (id, label, name, is_label).
+
+    Entries with a name equal to the query, but for case and space, come first: by their labels before other names, then the
+    shorter label, then id. Then come entries with a name that holds every word of the query, by the BM25 score of that name,
+    rounded to six places, with a bonus for labels, then id. An entry has its best place; a query without words finds exact names only.
+    """
+    asked = " ".join(query.lower().split())
+    terms = list(dict.fromkeys(re.findall(r"\w+", asked)))
+    exact = names.where(F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))) == asked)
+    found = exact.select("id", "label", F.struct(F.lit(0).alias("stage"), (~F.col("is_label")).cast("double").alias("by"), F.length("label").alias("size")).alias("order"))
+    if terms:
+        docs = names.select(F.struct("id", "label", "is_label", "name").alias("doc_id"), F.col("name").alias("text"))
+        held = term_counts(docs, terms).where(F.forall("tf", lambda x: x > 0)).select("doc_id")
+        score = F.round("score", 6) + F.when(F.col("doc_id.is_label"), label_bonus).otherwise(0.0)
+        ranked = bm25(docs, terms).join(held, "doc_id", "left_semi")
+        found = found.unionByName(ranked.select("doc_id.id", "doc_id.label", F.struct(F.lit(1).alias("stage"), (-score).alias("by"), F.lit(0).alias("size")).alias("order")))
+    best = found.groupBy("id").agg(F.min(F.struct("order", "label")).alias("best")).orderBy("best.order", "id").limit(n)
+    return best.select(F.row_number().over(Window.orderBy("best.order", "id")).alias("place"), "id", F.col("best.label").alias("label"))

@@ -220,3 +220,21 @@ def ft_06_field_search(spark, d):
     index = search.build_index(table(spark, d, "documents").where("text is not null"), ["text", "source"])
     asked = search.parse_query('"of the"[tiab] (src1*[so] OR nothing[tiab]) NOT und[tiab]', {"tiab": ["text"], "so": ["source"]})
     return search.matching(index, asked)
+
+
+@query("""
+with n as (select distinct p_name as id, p_name as label, p_name as name, true as is_label from part union select p_name, p_name, p_name || ' ' || lower(p_type), false from part
+  union select p_name, p_name, 'Red  Ring of ' || p_brand, false from part where p_name like '% bolt'),
+c as (select *, regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+') as w from n), l as (select *, len(w)::double as l, len(list_filter(w, lambda x: x = 'red'))::double as a, len(list_filter(w, lambda x: x = 'ring'))::double as b from c),
+s as (select count(*)::double as n, avg(l) as m, sum((a > 0)::int)::double as da, sum((b > 0)::int)::double as db from l),
+r as (select id, label, is_label, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m)), 6) as score from l, s where a > 0 and b > 0),
+f as (select id, label, 0 as stage, case when is_label then 0.0::double else 1 end as rank, length(label) as size from n where lower(name) = 'red ring' union all select id, label, 1, -(score + case when is_label then 0.5::double else 0 end), 0 from r),
+o as (select id, min(label) as label, min((stage, rank, size)) as o from f group by id)
+select row_number() over (order by o, id)::int as place, id, label from o order by o, id limit 12""")
+def ft_04_name_search(spark, d):
+    """Names of parts for the words red ring: exact names, then labels and longer names that hold both."""
+    p = table(spark, d, "part")
+    row = lambda name, is_label: (F.col("p_name").alias("id"), F.col("p_name").alias("label"), name.alias("name"), F.lit(is_label).alias("is_label"))
+    names = p.select(*row(F.col("p_name"), True)).unionByName(p.select(*row(F.concat("p_name", F.lit(" "), F.lower("p_type")), False))).unionByName(
+        p.where("p_name like '% bolt'").select(*row(F.concat(F.lit("Red  Ring of "), "p_brand"), False))).distinct()
+    return search.name_search(names, " Red  RING", 12)
