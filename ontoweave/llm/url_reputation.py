@@ -26,6 +26,23 @@ RULES = (
 )
 
 
+# Suffixes of two labels under which domains are registered; a caller may pass the whole public list.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "com.mx", "co.nz", "com.tr", "com.tw", "co.za",
+    "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "vercel.app",
+)
+
+
+def site(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host, without user and port; an address in numbers is a domain of its own."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    number = name.rlike(r"^(\[.*|[0-9]{1,3}([.][0-9]{1,3}){3})$")
+    last, two = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+    known = two.isin(*suffixes)
+    domain = F.when(number, name).when(known, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(number, "number").when(known, two).otherwise(last)
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path); both empty for a null url and for one without ``://``."""
     at = F.instr(url, "://")
@@ -62,16 +79,17 @@ def _concentration(groups: DataFrame, floor: float, ceiling: float) -> tuple[flo
     return rate, min(ceiling, max(floor, n * mean * (1.0 - mean) / spread))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float, floor: float, ceiling: float) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float, floor: float, ceiling: float, two_labels: Sequence[str] = SUFFIXES) -> DataFrame:
     """A row for each host of ``pages`` (columns page_id, host): its posterior bad rate and lower bound.
 
-    ``outcomes``: page_id, bad (0 or 1); several for one page all count, nulls don't.
+    ``outcomes``: page_id, bad (0 or 1); several for one page all count, nulls don't. ``two_labels``: suffixes of two labels.
     """
+    domain, suffix = site(F.col("host"), two_labels)
     seen = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = (
         pages.join(seen, "page_id", "left").groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+        .select("*", domain.alias("domain"), suffix.alias("suffix"))
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -128,11 +146,13 @@ q as (
 seen as (
   select doc_id as page_id, count(*) as n, sum(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad
   from labels where doc_id is not null and (quality is not null or toxic = 1) group by 1),
+named as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name from q),
+labelled as (select *, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') as two, regexp_matches(name, '^(\\[.*|[0-9]{1,3}([.][0-9]{1,3}){3})$') as number from named),
 h as (
   select host, coalesce(sum(n), 0)::double as n, coalesce(sum(bad), 0)::double as bad,
-         list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') as domain,
-         string_split(host, '.')[-1] as suffix
-  from q left join seen using (page_id) group by host),
+         any_value(case when number then name when two in (@SUFFIXES) then array_to_string(list_slice(string_split(name, '.'), -3, -1), '.') else two end) as domain,
+         any_value(case when number then 'number' when two in (@SUFFIXES) then two else string_split(name, '.')[-1] end) as suffix
+  from labelled left join seen using (page_id) group by host),
 d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all),
 s as (select suffix, sum(n) as n, sum(bad) as bad from d group by all),
 m as (
@@ -155,4 +175,4 @@ f as (
 select page_id, f.host, path, hit.r as rule, coalesce(hit.v, case when bound > 0.25 then 'block' else 'allow' end) as verdict,
        round(rate, 6) as bad_rate, round(bound, 6) as bad_bound
 from f join b using (host)
-"""
+""".replace("@SUFFIXES", ", ".join(f"'{x}'" for x in SUFFIXES))

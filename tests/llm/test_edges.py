@@ -212,3 +212,16 @@ def test_weights_of_zero_strand_no_budget(spark):
     assert got == {("d0", "de"): 10, ("d0", "en"): 0, ("d1", "de"): 95}
     got = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(leaves, 1.0, 1, {"domain": {"d1": 0.0}, "source": {"x0": 0.0}}).collect()}
     assert set(got.values()) == {0}
+
+
+def test_sites(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "shop.x.co.uk:8080": ("x.co.uk", "co.uk"), "me@me.github.io": ("me.github.io", "github.io"), "x.com:8080": ("x.com", "com"), "10.0.0.7:80": ("10.0.0.7", "number"),
+             "[::1]:80": ("[::1]", "number"), "localhost": ("localhost", "localhost"), "": ("", ""), "co.uk": ("co.uk", "co.uk"), "u:p@deep.a.org": ("a.org", "org")}
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *url_reputation.site(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == hosts
+    # Two owners under one shared suffix do not pool: the good one keeps its good name.
+    urls = [(i, f"http://{'bad' if i % 2 else 'good'}.github.io/p{i}", "", 1) for i in range(40)] + [(i, f"http://h{i}.net/", "", 1) for i in range(40, 60)]
+    pages = spark.createDataFrame(urls, "page_id long, url string, html string, host int")
+    outcomes = spark.createDataFrame([(i, i % 2 if i < 40 else 0) for i in range(60)], "page_id long, bad int")
+    rates = {r.host: r.bad_rate for r in url_reputation.judge_urls(pages, outcomes).select("host", "bad_rate").distinct().collect()}
+    assert rates["bad.github.io"] > 0.8 and rates["good.github.io"] < 0.2
