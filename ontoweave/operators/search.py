@@ -213,3 +213,16 @@ def name_search(names: DataFrame, query: str, n: int, label_bonus: float = 0.5)
         found = found.unionByName(ranked.select("doc_id.id", "doc_id.label", F.struct(F.lit(1).alias("stage"), (-score).alias("by"), F.lit(0).alias("size")).alias("order")))
     best = found.groupBy("id").agg(F.min(F.struct("order", "label")).alias("best")).orderBy("best.order", "id").limit(n)
     return best.select(F.row_number().over(Window.orderBy("best.order", "id")).alias("place"), "id", F.col("best.label").alias("label"))
+
+
+def latest_first(index: Index, docs: DataFrame, words: Sequence[str], every: bool, weights: Mapping[str, float], n: int, skip: int = 0) -> DataFrame:
+    """(doc_id, year, score, total): a page of docs (doc_id, year) that hold ``every`` one of the words, or any, the latest year first,
+    then the best score, then the smallest number; ``total`` counts all that match. Without words nothing matches."""
+    asked = [w for text in words for w in re.findall(r"[^\W_]+", text.lower())]
+    found = weighted_bm25(index, asked, weights)
+    if every:
+        held = index.postings.where(F.col("term").isin(*set(asked))).groupBy("doc_id").agg(F.count_distinct("term").alias("held"))
+        found = found.join(held.where(F.col("held") == len(set(asked))), "doc_id", "left_semi")
+    rows = settle(docs.select("doc_id", "year").join(found, "doc_id").select("doc_id", "year", F.round("score", 6).alias("score")), "found")
+    page = rows.orderBy(F.desc_nulls_last("year"), F.desc("score"), "doc_id").offset(skip).limit(n)
+    return page.withColumn("total", F.lit(rows.count()))
