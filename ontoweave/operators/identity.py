@@ -82,53 +82,46 @@ def _merged_in_order(small: DataFrame, merge: Callable[[list[tuple[str, str]]],
     return small.repartition("component").sortWithinPartitions("component", "ord").select("component", "a", "b").mapInArrow(run, schema)
 
 
-def _root(parent: dict[str, str], x: str) -> str:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def _complete_link_cell(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Blocks of one component's good pairs, best first. ``across`` counts the good pairs between blocks; the block with fewer
-    neighbours moves, so that a pair's count moves a logarithmic number of times."""
-    parent = {x: x for edge in edges for x in edge}
-    size = dict.fromkeys(parent, 1)
-    across: dict[str, dict[str, int]] = {x: {} for x in parent}
-    for a, b in edges:
-        across[a][b] = across[b][a] = 1
-    for a, b in edges:
-        a, b = _root(parent, a), _root(parent, b)
-        if a == b or across[a][b] != size[a] * size[b]:
-            continue
-        if len(across[a]) < len(across[b]):
-            a, b = b, a
-        parent[b] = a
-        size[a] += size[b]
-        for other, n in across.pop(b).items():
-            del across[other][b]
-            if other != a:
-                across[a][other] = across[other][a] = across[a].get(other, 0) + n
-    return [(x, _root(parent, x)) for x in parent]
-
-
-def _veto_cell(unique_prefixes: Sequence[str]) -> Callable[[list[tuple[str, str]]], list[tuple[str, str]]]:
-    unique = frozenset(unique_prefixes)
+def _cell_merge(unique_prefixes: Sequence[str] | None) -> Callable[[list[tuple[str, str]]], list[tuple[str, str]]]:
+    """Merges one component's edges, best first: if all pairs across are edges (None), or unless two ids of one unique prefix would meet.
+
+    ``across`` counts the edges between blocks; the block with fewer neighbours moves, so that a pair's count moves a logarithmic
+    number of times. The function holds all it needs, as tasks get it by value.
+    """
+    unique = None if unique_prefixes is None else frozenset(unique_prefixes)
 
     def merge(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
         parent = {x: x for edge in edges for x in edge}
         size = dict.fromkeys(parent, 1)
-        held = {x: {x.partition(":")[0]} & unique for x in parent}  # different nodes of one prefix are different ids
+        across: dict[str, dict[str, int]] = {x: {} for x in parent} if unique is None else {}
+        # Different nodes of one prefix are different ids.
+        held = {} if unique is None else {x: {x.partition(":")[0]} & unique for x in parent}
+
+        def root(x: str) -> str:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        if unique is None:
+            for a, b in edges:
+                across[a][b] = across[b][a] = 1
         for a, b in edges:
-            a, b = _root(parent, a), _root(parent, b)
-            if a == b or held[a] & held[b]:
+            a, b = root(a), root(b)
+            if a == b or (across[a][b] != size[a] * size[b] if unique is None else held[a] & held[b]):
                 continue
-            if size[a] < size[b]:
+            if (len(across[a]) < len(across[b])) if unique is None else size[a] < size[b]:
                 a, b = b, a
             parent[b] = a
             size[a] += size[b]
-            held[a] |= held.pop(b)
-        return [(x, _root(parent, x)) for x in parent]
+            if unique is not None:
+                held[a] |= held.pop(b)
+                continue
+            for other, n in across.pop(b).items():
+                del across[other][b]
+                if other != a:
+                    across[a][other] = across[other][a] = across[a].get(other, 0) + n
+        return [(x, root(x)) for x in parent]
 
     return merge
 
@@ -146,7 +139,7 @@ def complete_link(pairs: DataFrame, threshold: float, cell_edges: int = CELL_EDG
     good = good.groupBy("a", "b").agg(F.max("value").alias("value"))
     edges = settle(good.select("a", "b", F.struct((-F.col("value")).alias("v"), F.col("a").alias("x"), F.col("b").alias("y")).alias("ord"), F.lit(1).cast("long").alias("good")), "edges")
     small, edges = _split(edges, cell_edges)
-    edges, cells = settle(edges, "edges"), settle(_merged_in_order(small, _complete_link_cell, "member"), "cells")
+    edges, cells = settle(edges, "edges"), settle(_merged_in_order(small, _cell_merge(None), "member"), "cells")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("member")).distinct()
     blocks = settle(nodes.select("member", F.col("member").alias("block")), "blocks")
     while True:  # the first edge of all is always the first of both its blocks
@@ -174,7 +167,7 @@ def veto_merge(links: DataFrame, unique_prefixes: Sequence[str], cell_edges: int
     rows = links.where("a is not null and b is not null").select("a", "b", F.struct("ord", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).alias("ord"))
     edges = settle(rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ord").groupBy("a", "b").agg(F.min("ord").alias("ord")), "edges")
     small, edges = _split(edges, cell_edges)
-    edges, cells = settle(edges, "edges"), settle(_merged_in_order(small, _veto_cell(unique_prefixes), "node"), "cells")
+    edges, cells = settle(edges, "edges"), settle(_merged_in_order(small, _cell_merge(unique_prefixes), "node"), "cells")
     # Nodes that are linked with nothing but themselves are entities of their own.
     nodes = rows.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(cells, "node", "left_anti")
     blocks = settle(nodes.select("node", F.col("node").alias("block")), "blocks")
