@@ -72,8 +72,10 @@ def resolve_variants(asked: DataFrame, variants: DataFrame) -> DataFrame:
     Several identifiers of one change are unresolved, not interchangeable, and give no row.
     """
     known = variants.select("variant", F.explode(F.array_distinct(F.transform("genes", folded))).alias("gene"), protein_key(F.col("change")).alias("change"))
-    found = asked.select("asked", folded(F.col("gene")).alias("gene"), protein_key(F.col("change")).alias("change")).join(known, ["gene", "change"])
-    return found.groupBy("asked").agg(F.count_distinct("variant").alias("n"), F.min("variant").alias("variant")).where("n = 1").select("asked", "variant")
+    # What a change stands for is settled before it meets those that ask, so many variants of one change make no rows of their own.
+    stands = known.groupBy("gene", "change").agg(F.min("variant").alias("low"), F.max("variant").alias("high"))
+    found = asked.select("asked", folded(F.col("gene")).alias("gene"), protein_key(F.col("change")).alias("change")).join(stands, ["gene", "change"])
+    return found.groupBy("asked").agg(F.min("low").alias("variant"), F.max("high").alias("high")).where("variant = high").select("asked", "variant")
 
 
 def top_variant_papers(papers: DataFrame, variants: int, each: int) -> DataFrame:
