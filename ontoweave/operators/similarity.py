@@ -1,31 +1,128 @@
-"""Similarity of entities by shared features. Pairs come from an inverted index, never from all against all."""
+"""Similarity of entities by shared features: set pairs from a grid of blocks, scores from joins on common features."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 from .lineage import settle
 
 
-def jaccard_pairs(features: DataFrame, at_least: float) -> DataFrame:
+#: Feature entries of one block of sets, and sets of one; two blocks are what a task holds at once.
+BLOCK_ENTRIES, BLOCK_SETS = 2_000_000, 8192
+
+
+def _compared(at_least: float, entity: DataType) -> Callable[[tuple, pa.Table], pa.Table]:
+    """One cell of the grid: all sets of its block ``lo`` against those of ``hi``. Sets are taken in order of size, a strip of one
+    side at a time against those of the other that are large enough; features that many of both have are counted by a matrix
+    product, the others by their pairs of sets. The function holds all it needs, as tasks get it by value."""
+    out = pa.schema([("a", to_arrow_type(entity)), ("b", to_arrow_type(entity)), ("shared", pa.int64()), ("jaccard", pa.float64())])
+
+    def counted(x, c, rows: int, y, d, columns: int, features: int):
+        """Features shared by each of ``rows`` and ``columns`` sets: entries (x, c) and, in order of features, (y, d)."""
+        na, nb = np.bincount(c, minlength=features), np.bincount(d, minlength=features)
+        dense = na * nb > max(rows * columns // 100, 64)
+        shared = np.zeros((rows, columns), np.float32)
+        often = np.flatnonzero(dense)
+        number = np.full(features, -1)
+        number[often] = np.arange(len(often))
+        cx, dy = (number[c], number[d]) if features else (c, d)
+        for low in range(0, len(often), 512):
+            left, right = np.zeros((rows, 512), np.float32), np.zeros((512, columns), np.float32)
+            m, n = (cx >= low) & (cx < low + 512), (dy >= low) & (dy < low + 512)
+            left[x[m], cx[m] - low] = 1
+            right[dy[n] - low, y[n]] = 1
+            shared += left @ right
+        seldom = (cx < 0) & (nb[c] > 0) if features else np.zeros(0, bool)
+        x, c = x[seldom], c[seldom]
+        starts, met = np.concatenate([[0], np.cumsum(nb)]), np.cumsum(nb[c]) if len(c) else np.empty(0, int)
+        at = 0
+        while at < len(c):
+            # Some millions of pairs at a time; one entry meets at most all columns.
+            to = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + 4_000_000, "right")))
+            n = nb[c[at:to]]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            cells = np.repeat(x[at:to] * columns, n) + y[np.repeat(starts[c[at:to]], n) + inside]
+            shared += np.bincount(cells, minlength=rows * columns).reshape(rows, columns)
+            at = to
+        return shared
+
+    def side(table: pa.Table, block: int):
+        rows = table.filter(pc.equal(table["block"], block)).combine_chunks()
+        rows = rows.take(pa.array(np.argsort(rows["n"].to_numpy(), kind="stable")))
+        return rows["entity"], rows["n"].to_numpy(), rows["features"].combine_chunks().flatten().to_numpy()
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi = (int(k.as_py()) for k in key)
+        names, na, fa = side(table, lo)
+        others, nb, fb = (names, na, fa) if lo == hi else side(table, hi)
+        found: list[pa.Table] = []
+        if not len(na) or not len(nb):
+            return out.empty_table()
+        # Only features of both sides count; they get numbers from 0.
+        common = np.unique(fa) if lo == hi else np.intersect1d(fa, fb)
+        place = lambda f, n: (np.repeat(np.arange(len(n)), n), np.searchsorted(common, f)) if len(common) else (np.empty(0, int), np.empty(0, int))
+        ra, ca = place(fa, na)
+        rb, cb = place(fb, nb)
+        if lo != hi and len(common):
+            ra, ca = (x[common[np.minimum(ca, len(common) - 1)] == fa] for x in (ra, ca))
+            rb, cb = (x[common[np.minimum(cb, len(common) - 1)] == fb] for x in (rb, cb))
+        ends_a = np.searchsorted(ra, np.arange(len(na) + 1))
+        by_feature = np.argsort(cb, kind="stable")
+        cb, rb = cb[by_feature], rb[by_feature]
+        strip = max(1, 4_000_000 // len(nb))
+        for at in range(0, len(na), strip):
+            to = min(at + strip, len(na))
+            first = int(np.searchsorted(nb, at_least * na[at] - 1e-9))
+            last = int(np.searchsorted(nb, na[to - 1] / at_least + 1e-9, "right"))
+            if first >= last:
+                continue
+            x, c = ra[ends_a[at]:ends_a[to]] - at, ca[ends_a[at]:ends_a[to]]
+            fits = (rb >= first) & (rb < last)
+            y, d = rb[fits] - first, cb[fits]
+            shared = counted(x, c, to - at, y, d, last - first, len(common))
+            union = na[at:to, None] + nb[None, first:last] - shared
+            i, j = np.nonzero((shared > 0) & (shared >= (at_least - 1e-12) * union - 1e-6))
+            if lo == hi:
+                once = i + at < j + first
+                i, j = i[once], j[once]
+            k = shared[i, j].astype(np.int64)
+            value = k / union[i, j]
+            good = value >= at_least - 1e-12
+            i, j = i[good], j[good]
+            found.append(pa.table([names.take(pa.array(i + at)), others.take(pa.array(j + first)), pa.array(k[good]), pa.array(value[good])], schema=out))
+        return pa.concat_tables(found) if found else out.empty_table()
+
+    return compare
+
+
+def jaccard_pairs(features: DataFrame, at_least: float, block_entries: int = BLOCK_ENTRIES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(a, b, shared, jaccard), a < b, of all entities of (entity, feature) with a Jaccard of ``at_least``, which is above 0.
 
-    Sets so similar share one of the first n - ceil(at_least * n) + 1 of their n features in any order; with rare features
-    first, those that most entities have are hardly ever joined on. Only pairs that meet so, of sizes that fit, are compared whole.
-    Entities with equal sets all meet: join classes of equal sets, such as equal texts, by one of them.
+    The sets, with numbers for their features, are dealt to blocks of bounded size, and each pair of blocks is compared in one
+    task: no pair that fails, and no set for each of its pairs, is ever shuffled. Each set goes to as many tasks as there are blocks,
+    so the work stays quadratic in the sets but what moves is the sets times their blocks.
     """
-    rows = features.where("entity is not null and feature is not null").distinct()
-    often = rows.groupBy("feature").agg(F.count("*").alias("df"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "feature"))), lambda x: x["feature"])
-    sets = settle(rows.join(often, "feature").groupBy("entity").agg(ordered.alias("features")).withColumn("n", F.size("features")), "sets")
-    first = F.slice("features", 1, F.col("n") - F.ceil(F.lit(at_least) * F.col("n") - 1e-9).cast("int") + 1)
-    keys = sets.select("entity", "n", F.explode(first).alias("key"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(at_least) * F.greatest("na", "nb") - 1e-9)
-    near = keys.toDF("a", "na", "key").join(keys.toDF("b", "nb", "key"), "key").where(fits).select("a", "b").distinct()
-    whole = near.join(sets.toDF("a", "fa", "na"), "a").join(sets.toDF("b", "fb", "nb"), "b").withColumn("shared", F.size(F.array_intersect("fa", "fb")).cast("long"))
-    found = whole.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-    return found.where(F.col("jaccard") >= at_least - 1e-12).select("a", "b", "shared", "jaccard")
+    rows = settle(features.where("entity is not null and feature is not null").select("entity", "feature").distinct(), "features")
+    # Numbers are settled, as they depend on the run.
+    numbers = settle(rows.select("feature").distinct().withColumn("f", F.monotonically_increasing_id()), "numbers")
+    sets = settle(rows.join(numbers, "feature").groupBy("entity").agg(F.array_sort(F.collect_list("f")).alias("features")).withColumn("n", F.size("features")), "sets")
+    entries, count = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # A small input is still dealt to several tasks.
+    blocks = max(-(-entries // block_entries), -(-count // block_sets), min(6, -(-count // 256)), 1)
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")).select(F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "entity", "n", "features")
+    kind = sets.schema["entity"].dataType
+    schema = StructType().add("a", kind).add("b", kind).add("shared", "long").add("jaccard", "double")
+    found = cells.groupBy("lo", "hi").applyInArrow(_compared(at_least, kind), schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "jaccard")
 
 
 def weighted_neighbours(profiles: DataFrame, weights: DataFrame, asking: DataFrame, annotations: DataFrame) -> DataFrame:
