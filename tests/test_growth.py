@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from ontoweave.operators import bridge, lookups, similarity
+from ontoweave.operators import bridge, lookups, ranking, similarity
 
 
 def _plan(df):
@@ -46,3 +46,39 @@ def test_bridge_brings_no_profile_to_a_pair(spark, monkeypatch):
     got = {(r.a, r.b): (r.value and round(r.value, 6), r.shared_phenotypes, r.shared_processes) for r in found.collect()}
     assert got == {("A", "B"): (0.5, ["p1", "p2"], []), ("A", "C"): (0.333333, ["p9"], ["m"]), ("A", "D"): (0.666667, ["p1", "p9"], []), ("A", "E"): (None, [], ["m"]), ("C", "E"): (None, [], ["m"])}
     assert len(plans) == 1 and plans[0].count("Join") == 1
+
+
+def test_candidates_are_scored_in_their_row(spark):
+    rng = random.Random(3)
+    parent = {f"t{i}": f"t{i // 3}" for i in range(1, 30)}
+    up = {t: {t} for t in ["t0", *parent]}
+    for t in sorted(parent, key=lambda t: int(t[1:])):
+        up[t] |= up[parent[t]]
+    closed = spark.createDataFrame([(t, a, 0) for t in up for a in up[t]], "descendant string, ancestor string, depth int")
+    own = {(f"e{e}", f"t{t}"): rng.choice((0.25, 0.5, 1.0)) for e in range(12) for t in rng.sample(range(30), 4)}
+    carried = {}
+    for (e, t), f in own.items():
+        for a in up[t]:
+            carried[e, a] = max(f, carried.get((e, a), 0))
+    ic = {t: (0.0 if t == "t0" else 0.5 + int(t[1:]) % 7) for t in up}
+    asks = {c: rng.sample(sorted(up), 3) for c in range(6)}
+    among = [(c, f"e{e}") for c in range(6) for e in range(13)] + [(99, "e1")]
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    queries, out = frame([(c, t) for c in asks for t in asks[c]], "case int, term string"), frame([("t5",)], "term string")
+    prop, ann = (frame([(e, t, f) for (e, t), f in x.items()], "entity string, term string, freq double") for x in (carried, own))
+    weights = frame(list(ic.items()), "term string, ic double")
+    useful = {t for t in up if ic[t] > 0 and t != "t5"}
+    rows = frame(among, "case int, entity string")
+    scored = ranking.rank_entities(queries, prop, weights, closed, rows, out)
+    for r in scored.collect():
+        best = [max(((ic[t] * (0.6 + 0.4 * carried[r.entity, t]), t == q) for t in up[q] & useful if (r.entity, t) in carried), default=(0, False)) for q in asks.get(r.case, [])]
+        assert math.isclose(r.score, sum(v for v, _ in best), abs_tol=1e-9) and r.full == sum(o for _, o in best)
+    covered = ranking.annotation_coverage(queries, ann, weights, closed, rows, out)
+    for r in covered.collect():
+        mine = {t: f for (e, t), f in own.items() if e == r.entity and t in useful}
+        above = {a for q in asks.get(r.case, []) for a in up[q] & useful}
+        explained = sum(f * max((ic[a] for a in up[t] & above), default=0) for t, f in mine.items())
+        assert math.isclose(r.coverage, explained / sum(f * ic[t] for t, f in mine.items()) if mine else 1.0, abs_tol=1e-9)
+    assert scored.count() == covered.count() == len(among)
+    # A candidate is never made into a row for each of its case's terms.
+    assert "Generate" not in _plan(scored) + _plan(covered)
