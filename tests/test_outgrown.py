@@ -38,3 +38,17 @@ def test_claims_are_told_without_a_shuffle(spark):
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert _plan(found).startswith("Union")
+
+
+def test_leaves_take_no_part_in_rounds(spark, monkeypatch):
+    seen = _plans(monkeypatch, ontology)
+    edges = [("a", "b"), ("b", "c"), ("c", "b"), ("a", "c"), ("x", "c"), ("c", "c"), ("x", None), (None, "c"), ("a", "b"), ("y", "y")]
+    shut = ontology.closure(spark.createDataFrame(edges, "child string, parent string"))
+    want = {("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("b", "b", 0), ("b", "c", 1), ("c", "c", 0), ("c", "b", 1), ("x", "x", 0), ("x", "c", 1), ("x", "b", 2)}
+    assert {tuple(r) for r in shut.collect()} == want and shut.count() == len(want)
+    assert [name for name, _ in seen][:3] == ["edges", "parents", "upper"]
+    own = spark.createDataFrame([("e", "a", 0.5), ("e", "x", 1.0), ("f", "b", 0.1), ("f", "unknown", 1.0)], "entity string, term string, freq double")
+    prop = ontology.propagate(own, shut)
+    assert {tuple(r) for r in prop.collect()} == {("e", "a", 0.5), ("e", "x", 1.0), ("e", "b", 1.0), ("e", "c", 1.0), ("f", "b", 0.1), ("f", "c", 0.1)}
+    # An entity's rows are parted into ancestors where they are merged.
+    assert "RepartitionByExpression [entity" in _plan(prop)
