@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
-from .lineage import settle
+from .lineage import parts_for, settle
 
 
 #: Feature entries of one block of sets, and sets of one; two blocks are what a task holds at once.
@@ -184,15 +184,25 @@ def directed_similarity(annotations: DataFrame, propagated: DataFrame, weights:
 
 def symmetric_similarity(annotations: DataFrame, propagated: DataFrame, weights: DataFrame, closed: DataFrame, focus: str, fewest: int = 3, least: float = 0.25) -> DataFrame:
     """(a, b, similarity): ``focus`` against all entities; the root of the product of how well each explains the other, over how well
-    each explains itself. Entities with fewer than ``fewest`` terms and similarities below ``least`` are left out."""
-    enough = annotations.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= fewest).select("entity")
-    mine, theirs = annotations.join(enough, "entity", "left_semi"), propagated.join(enough, "entity", "left_semi")
-    others = enough.where(F.col("entity") != focus).withColumn("focus", F.lit(focus))
-    pairs = others.select(F.col("focus").alias("a"), F.col("entity").alias("b")).union(others.select("entity", "focus")).union(enough.select("entity", "entity"))
-    v = settle(directed_similarity(mine, theirs, weights, closed, pairs).withColumn("value", F.greatest("value", F.lit(1e-9))), "directed")
-    own = v.where("a = b").select(F.col("a").alias("x"), F.col("value").alias("own"))
-    there = v.where((F.col("a") == focus) & (F.col("b") != focus))
-    back = v.where((F.col("b") == focus) & (F.col("a") != focus)).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("value").alias("back"))
-    both = there.join(back, ["a", "b"]).join(own.toDF("a", "own_a"), "a").join(own.toDF("b", "own_b"), "b")
+    each explains itself. Entities with fewer than ``fewest`` terms and similarities below ``least`` are left out.
+
+    ``propagated`` are all of ``annotations`` carried up ``closed``. Only the focus's few terms are brought to other entities' rows."""
+    n = parts_for(annotations.count())
+    climbs = closed.select(F.col("descendant").alias("term"), "ancestor").join(weights.select(F.col("term").alias("ancestor"), "ic"), "ancestor")
+    focused = settle(propagated.where(F.col("entity") == focus).select(F.col("term").alias("ancestor"), F.lit(True).alias("held")).distinct(), "focus")
+    # How well a term is explained by its own entity, which holds all its ancestors, and by the focus, is the same for all entities with it.
+    best = climbs.join(focused, "ancestor", "left").groupBy("term").agg(F.max("ic").alias("best_own"), F.max(F.when(F.col("held"), F.col("ic"))).alias("best_back"))
+    rows = annotations.select("entity", "term", "freq").join(best, "term", "left").repartition(n, "entity").groupBy("entity", "term", "freq").agg(F.count("*").alias("n"), F.first("best_own").alias("best_own"), F.first("best_back").alias("best_back"))
+    told = lambda c: F.sum(F.col(c) * (F.lit(0.4) + F.lit(0.6) * F.col("freq")))
+    least_value = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(1e-9)))
+    v = rows.groupBy("entity").agg(F.sum("n").alias("n"), least_value(told("best_own")).alias("own"), least_value(told("best_back")).alias("back")).where(F.col("n") >= fewest).drop("n")
+    v = settle(v, "directed")
+
+    mine = annotations.where(F.col("entity") == focus).select("term", "freq").distinct().join(climbs, "term").select("term", "freq", "ancestor", "ic")
+    mine = settle(mine, "climbs")
+    near = propagated.select(F.col("entity").alias("b"), F.col("term").alias("ancestor")).join(F.broadcast(mine.select("ancestor").distinct()), "ancestor", "left_semi").repartition(n, "b")
+    there = near.join(F.broadcast(mine), "ancestor").groupBy("b", "term", "freq").agg(F.max("ic").alias("best")).groupBy("b").agg(least_value(told("best")).alias("value"))
+    alone = v.where(F.col("entity") == focus).select(F.col("entity").alias("a"), F.col("own").alias("own_a"))
+    both = there.where(F.col("b") != focus).join(v.toDF("b", "own_b", "back"), "b").join(F.broadcast(alone))
     found = both.select("a", "b", F.sqrt(F.col("value") / F.col("own_a") * (F.col("back") / F.col("own_b"))).alias("similarity"))
     return found.where(F.col("similarity") >= least)

@@ -52,3 +52,23 @@ def test_leaves_take_no_part_in_rounds(spark, monkeypatch):
     assert {tuple(r) for r in prop.collect()} == {("e", "a", 0.5), ("e", "x", 1.0), ("e", "b", 1.0), ("e", "c", 1.0), ("f", "b", 0.1), ("f", "c", 0.1)}
     # An entity's rows are parted into ancestors where they are merged.
     assert "RepartitionByExpression [entity" in _plan(prop)
+
+
+def test_only_the_focus_is_brought_to_others(spark, monkeypatch):
+    up = {"a": "t", "b": "t", "t": "r", "c": "r", "r": None}
+    above = {t: [t] + ([up[t]] if up[t] else []) + (["r"] if up[t] == "t" else []) for t in up}
+    ic = {"a": 3.0, "b": 2.0, "t": 1.0, "c": 2.5, "r": 0.0}
+    own = {"f": {"a": 1.0, "b": 0.5}, "g": {"a": 0.25, "c": 1.0}, "h": {"c": 0.5, "t": 1.0}, "i": {"a": 1.0}}
+    frame = spark.createDataFrame
+    ann = frame([(e, t, f) for e, ts in own.items() for t, f in ts.items()], "entity string, term string, freq double")
+    held = {e: {x for t in ts for x in above[t]} for e, ts in own.items()}
+    prop = frame([(e, x, 1.0) for e in held for x in held[e]], "entity string, term string, freq double")
+    closed = frame([(t, x, 0) for t in above for x in above[t]], "descendant string, ancestor string, depth int")
+    seen = _plans(monkeypatch, similarity)
+    got = {(r.a, r.b): r.similarity for r in similarity.symmetric_similarity(ann, prop, frame(list(ic.items()), "term string, ic double"), closed, "f", 2, 0.0).collect()}
+    value = lambda a, b: max(1e-9, sum(max(ic[x] for x in above[t] if x in held[b]) * (0.4 + 0.6 * f) for t, f in own[a].items()))
+    want = {("f", e): math.sqrt(value("f", e) / value("f", "f") * (value(e, "f") / value(e, e))) for e in ("g", "h")}
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in want)
+    # What is settled of all entities is one row each, not one a pair.
+    assert "Join Inner" not in dict(seen)["directed"].split("Join LeftOuter")[0]
+    assert [name for name, _ in seen] == ["focus", "directed", "climbs"]
