@@ -20,25 +20,31 @@ def expand_frontier(edges: DataFrame, start: DataFrame, rounds: int, per_source:
     Each round asks every source for at most ``per_source`` best edges of each frontier node; of the new nodes the
     ``frontier`` with most distinct sources are asked next.
     """
-    ranked = edges.withColumn("n", F.row_number().over(Window.partitionBy("source", "src").orderBy(F.desc("weight"), "dst")))
-    ranked = ranked.where(F.col("n") <= per_source)
-    known = start.select("node", F.lit(0).alias("round"), F.lit(0).cast("long").alias("support"))
-    asked = start.select("node")
+    best = Window.partitionBy("source", "src").orderBy(F.desc("weight"), "dst")
+    known = settle(start.select("node", F.lit(0).alias("round"), F.lit(0).cast("long").alias("support")), "frontier")
+    asked = known.select("node")
     for r in range(1, rounds + 1):
-        hits = ranked.join(asked.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count_distinct("source").alias("support"))
+        # Only edges of the nodes asked are made different and ranked; the nodes are settled, so that Spark knows how few they are.
+        near = edges.join(asked.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "source", "weight").distinct()
+        hits = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_source).groupBy(F.col("dst").alias("node")).agg(F.count_distinct("source").alias("support"))
         fresh = settle(hits.join(known, "node", "left_anti").select("node", F.lit(r).alias("round"), "support"), "frontier")
         known = known.unionByName(fresh)
-        asked = fresh.orderBy(F.desc("support"), "node").limit(frontier).select("node")
+        if r < rounds:
+            asked = settle(fresh.orderBy(F.desc("support"), "node").limit(frontier).select("node"), "asked")
     return known
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, max_length: int) -> DataFrame:
-    """(node, length, via): breadth-first distances over undirected edges (src, dst) with the smallest predecessor."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    known = fresh = start.select("node", F.lit(0).alias("length"), F.lit(None).cast(start.schema["node"].dataType).alias("via"))
+    """(node, length, via): breadth-first distances over undirected edges (src, dst) with the smallest predecessor.
+
+    Each round reads the edges once, against the nodes that the one before found; parallel edges need no merging, as the smallest
+    predecessor does that.
+    """
+    both = edges.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("node"), F.col("src").alias("to")))))
+    known = fresh = settle(start.select("node", F.lit(0).alias("length"), F.lit(None).cast(start.schema["node"].dataType).alias("via")), "paths")
     for length in range(1, max_length + 1):
-        step = fresh.join(both.withColumnRenamed("src", "node"), "node").groupBy("dst").agg(F.min("node").alias("via"))
-        fresh = settle(step.withColumnRenamed("dst", "node").join(known, "node", "left_anti").select("node", F.lit(length).alias("length"), "via"), "paths")
+        step = both.join(fresh, "node").groupBy("to").agg(F.min("node").alias("via"))
+        fresh = settle(step.withColumnRenamed("to", "node").join(known, "node", "left_anti").select("node", F.lit(length).alias("length"), "via"), "paths")
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import degree_specificity
 from ..operators import graph, identity, ontology, similarity
+from ..operators.lineage import settle
 from .bindings import ONTOLOGY_SQL, annotations, closed, index, is_a
 from .registry import query, table
 
@@ -49,7 +50,7 @@ def gr_06_one_hop(spark, d):
 
 @query(ONTOLOGY_SQL + "select entity, term, round(freq, 6) as freq from prop where term not like 'part:%'")
 def o_agg_04_propagated_frequency(spark, d):
-    shut, ann = closed(spark, d), annotations(spark, d)
+    shut, ann = closed(spark, d), settle(annotations(spark, d), "annotations")
     return ontology.propagate(ann, shut.where("ancestor not like 'part:%'")).withColumn("freq", F.round("freq", 6))
 
 
@@ -156,9 +157,10 @@ def _trade(spark, d):
     """Edges supplier - part - customer with the order as evidence."""
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("o_orderkey = l_orderkey"))
     s, p, c = (F.concat(F.lit(f"{n}:"), F.col(k).cast("string")) for n, k in (("supplier", "l_suppkey"), ("part", "l_partkey"), ("customer", "o_custkey")))
-    proof = F.array(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")))
-    sells = li.select(s.alias("src"), p.alias("dst"), F.lit("sells").alias("relation"), F.col("l_shipdate").cast("string").substr(1, 4).alias("source"), proof.alias("evidence"))
-    return sells.union(li.select(c, p, F.lit("orders"), F.col("l_shipdate").cast("string").substr(1, 4), proof))
+    edge = lambda src, relation: F.struct(src.alias("src"), p.alias("dst"), F.lit(relation).alias("relation"))
+    shared = (F.col("l_shipdate").cast("string").substr(1, 4).alias("source"), F.array(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))).alias("evidence"))
+    # Both edges of a line come from its one row, so the tables are joined once.
+    return li.select(F.inline(F.array(edge(s, "sells"), edge(c, "orders"))), *shared).select("src", "dst", "relation", "source", "evidence")
 
 
 TRADE_SQL = """with li as (select * from lineitem join orders on o_orderkey = l_orderkey),
@@ -191,7 +193,8 @@ def gr_62_convergence_hubs(spark, d):
 @query()
 def gr_17_frontier_expansion(spark, d):
     e = _trade(spark, d)
-    both = e.select("src", "dst", "source").union(e.select("dst", "src", "source")).distinct().withColumn("weight", -F.length("dst"))
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = e.select(F.inline(ways), "source").withColumn("weight", -F.length("dst"))
     return graph.expand_frontier(both, spark.createDataFrame([("supplier:1",)], "node string"), 2, 5, 50)
 
 

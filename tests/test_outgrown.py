@@ -72,3 +72,16 @@ def test_only_the_focus_is_brought_to_others(spark, monkeypatch):
     # What is settled of all entities is one row each, not one a pair.
     assert "Join Inner" not in dict(seen)["directed"].split("Join LeftOuter")[0]
     assert [name for name, _ in seen] == ["focus", "directed", "climbs"]
+
+
+def test_edges_are_cut_to_the_asked_nodes_first(spark, monkeypatch):
+    seen = _plans(monkeypatch, graph)
+    edges = spark.createDataFrame([("a", "b", "s", 1), ("b", "c", "s", 2), ("a", "b", "s", 1)], "src string, dst string, source string, weight int")
+    start = spark.createDataFrame([("a",)], "node string")
+    assert {tuple(r) for r in graph.expand_frontier(edges, start, 2, 1, 5).collect()} == {("a", 0, 0), ("b", 1, 1), ("c", 2, 1)}
+    first = next(p for name, p in seen if name == "frontier" and "Window" in p)
+    assert first.index("Window") < first.index("LeftSemi")
+    seen.clear()
+    assert {tuple(r) for r in graph.shortest_paths(edges, start, 3).collect()} == {("a", 0, None), ("b", 1, "a"), ("c", 2, "b")}
+    # Edges are not merged before they meet the nodes of the round.
+    assert seen[1][0] == "paths" and seen[1][1].count("Aggregate") == 1
