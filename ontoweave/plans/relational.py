@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import parts_for, settle
 from ..operators.topk import best_per_key, rank_of_truth, round_robin, top_per_group
 from .registry import query, table
 
@@ -37,8 +38,12 @@ def jn_05_anti(spark, d):
 def jn_06_inverted_index_pairs(spark, d):
     """Customers that share three parts or more; a part has a bounded number of buyers, however many customers there are."""
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey"))
-    f = li.select("o_custkey", "l_partkey").distinct()
-    return f.toDF("a", "part").join(f.toDF("b", "part"), "part").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
+    f = settle(li.select("o_custkey", "l_partkey").distinct(), "buyers")
+    # A task counts its pairs in memory, so there are as many tasks as the pairs need.
+    n = F.count("*").cast("long")
+    met = f.groupBy("l_partkey").agg((n * (n - 1) / 2).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+    pairs = f.toDF("a", "part").join(f.toDF("b", "part"), "part").where("a < b").select("a", "b").repartition(parts_for(int(met), 2_000_000), "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
 @query("select o.o_orderkey, l_linenumber, o_orderdate::varchar as ordered from orders o join lineitem on l_orderkey = o_orderkey where l_shipdate < o_orderdate + interval 3 day and l_shipdate > o_orderdate")

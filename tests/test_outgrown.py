@@ -85,3 +85,7 @@ def test_edges_are_cut_to_the_asked_nodes_first(spark, monkeypatch):
     assert {tuple(r) for r in graph.shortest_paths(edges, start, 3).collect()} == {("a", 0, None), ("b", 1, "a"), ("c", 2, "b")}
     # Edges are not merged before they meet the nodes of the round.
     assert seen[1][0] == "paths" and seen[1][1].count("Aggregate") == 1
+
+
+def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark):
+    assert "RepartitionByExpression [a#" in _plan(plans.QUERIES["jn_06_inverted_index_pairs"](spark, SMALL))
