@@ -164,7 +164,7 @@ def selection_tables(spark, d):
     o = table(spark, d, "orders")
     items = o.select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("item"), (F.lit(4) - F.substring("o_orderpriority", 1, 1).cast("int")).alias("level"), (F.col("o_orderstatus") == "F").alias("done"), "o_totalprice")
     items = ordered(items, F.desc("level"), F.desc("o_totalprice"), "item").withColumn("own", F.col("done") & (F.col("level") == 3)).drop("done", "o_totalprice")
-    keys = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey")).join(o, F.expr("l_orderkey = o_orderkey")).select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("item"), F.col("p_brand").alias("key")).distinct()
+    keys = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey")).join(o, F.expr("l_orderkey = o_orderkey")).select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("item"), F.col("p_brand").alias("key"))
     brands = F.array(*(F.concat(F.lit("Brand#"), ((F.col("c_custkey") * 7 + i * i) % 25 + 1).cast("string")) for i in (1, 2, 3)))
     wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("group"), F.posexplode(brands).alias("place", "key"))
     return items, keys, wanted

@@ -89,3 +89,11 @@ def test_edges_are_cut_to_the_asked_nodes_first(spark, monkeypatch):
 
 def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark):
     assert "RepartitionByExpression [a#" in _plan(plans.QUERIES["jn_06_inverted_index_pairs"](spark, SMALL))
+
+
+def test_selection_joins_once(spark):
+    frame = spark.createDataFrame
+    items = frame([(1, 1, 3, 1, True), (1, 2, 3, 2, False), (1, 3, 1, 3, False), (2, 4, 1, 1, False)], "group int, item int, level int, place int, own boolean")
+    found = selection.diverse_selection(items, frame([(1, 1, "x"), (1, 2, "x"), (1, 3, "y"), (1, 3, "y")], "group int, item int, key string"), frame([(1, "y", 0)], "group int, key string, place int"), 3)
+    assert {tuple(r) for r in found.collect()} == {(1, 3, 1), (1, 1, 2), (1, 2, 3), (2, 4, 1)}
+    assert _plan(found).count("Join") == 1
