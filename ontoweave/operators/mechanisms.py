@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import noisy_or
+from .lineage import settle
 
 # The weight of a shared or linked neighbour by its kind, and of phenotypes, each and at most.
 KIND_WEIGHTS = {"gene": 0.5, "pathway": 0.8, "process": 0.6, "cell_type": 0.5, "cell": 0.5, "anatomy": 0.4}
@@ -28,11 +29,12 @@ def bridges(inputs: DataFrame, near: DataFrame, kinds: DataFrame, symptoms: Data
     """
     flag = lambda name, cond: F.max(F.coalesce(cond, F.lit(False))).alias(name)
     up = F.col("hierarchy") & ~F.col("child")
-    near = near.where("node is not null and other is not null").groupBy("node", "other").agg(
+    merged = lambda rows: rows.groupBy("node", "other").agg(
         flag("causal", F.col("causal")), flag("hierarchy", F.col("hierarchy")), flag("up", up), flag("shares", F.col("relation") == "shares_mechanism_with"))
-    kinds = kinds.groupBy(F.col("node").alias("k")).agg(F.min("kind").alias("kind"))
-    asked = inputs.select("input").where("input is not null").distinct()
-    own = near.withColumnRenamed("node", "input").join(asked, "input").join(kinds, F.col("other") == F.col("k")).drop("k")
+    asked = settle(inputs.select("input").where("input is not null").distinct(), "asked")
+    mine = settle(merged(near.where("other is not null").join(asked.toDF("node"), "node", "left_semi")).withColumnRenamed("node", "input"), "mine")
+    of = lambda nodes: kinds.join(nodes, "node", "left_semi").groupBy(F.col("node").alias("k")).agg(F.min("kind").alias("kind"))
+    own = settle(mine.join(of(mine.select(F.col("other").alias("node"))), F.col("other") == F.col("k")).drop("k"), "own")
     row = lambda df, basis, via, weight: df.select("input", F.col("other").alias("node"), F.lit(basis).alias("basis") if isinstance(basis, str) else basis.alias("basis"), via.alias("via"), weight.cast("double").alias("weight"), F.lit(1).cast("long").alias("shared"))
     none = F.lit(None).cast("string")
     itself = asked.select("input", F.col("input").alias("node"), F.lit("input").alias("basis"), none.alias("via"), F.lit(INPUT).alias("weight"), F.lit(1).cast("long").alias("shared"))
@@ -43,7 +45,9 @@ def bridges(inputs: DataFrame, near: DataFrame, kinds: DataFrame, symptoms: Data
     linked = F.when((F.col("kind") == "gene") & F.col("causal"), CAUSAL_GENE).otherwise(F.coalesce(_kind_weight("kind"), F.lit(PHENOTYPE_LINKED)))
     ways.append(row(others.where("kind <> 'disease'"), F.concat(F.lit("linked "), F.col("kind")), none, linked))
 
-    diseases = near.join(kinds.where("kind = 'disease'").select(F.col("k").alias("node")), "node", "left_semi")
+    # Of all other edges those count that lead to a neighbour of an input; they are found before they are merged.
+    there = settle(merged(near.where("node is not null").join(own.select("other").distinct(), "other", "left_semi")), "there")
+    diseases = there.join(of(there.select("node")).where("kind = 'disease'").select(F.col("k").alias("node")), "node", "left_semi")
     met = own.select("input", F.col("other").alias("m"), "kind", F.col("causal").alias("causal_here"), F.col("up").alias("up_here")).join(
         diseases.select("node", F.col("other").alias("m"), "causal", "up"), "m").where("node <> input")
     met = met.join(generic.select(F.col("node").alias("m"), F.lit(True).alias("generic")).distinct(), "m", "left")

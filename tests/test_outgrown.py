@@ -97,3 +97,10 @@ def test_selection_joins_once(spark):
     found = selection.diverse_selection(items, frame([(1, 1, "x"), (1, 2, "x"), (1, 3, "y"), (1, 3, "y")], "group int, item int, key string"), frame([(1, "y", 0)], "group int, key string, place int"), 3)
     assert {tuple(r) for r in found.collect()} == {(1, 3, 1), (1, 1, 2), (1, 2, 3), (2, 4, 1)}
     assert _plan(found).count("Join") == 1
+
+
+def test_bridges_merge_only_edges_of_neighbours(spark, monkeypatch):
+    seen = _plans(monkeypatch, mechanisms)
+    assert plans.QUERIES["gr_42_bridges"](spark, SMALL).count() > 0
+    there = dict(seen)["there"]
+    assert there.index("Aggregate") < there.index("LeftSemi")
