@@ -37,7 +37,8 @@ class Index(NamedTuple):
 def build_index(docs: DataFrame, fields: Sequence[str]) -> Index:
     """The index of docs (doc_id, one text column for each field), written once; a null field has no words."""
     listed = F.array(*(F.struct(F.lit(f).alias("field"), F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(WORD), 0).alias("words")) for f in fields))
-    rows = docs.select("doc_id", F.explode(listed).alias("x")).select("doc_id", "x.field", "x.words")
+    # Texts are dealt to tasks by document, once; their words are only parted there.
+    rows = docs.select("doc_id", *fields).repartition("doc_id").select("doc_id", F.explode(listed).alias("x")).select("doc_id", "x.field", "x.words")
     found = rows.select("doc_id", "field", F.posexplode("words").alias("pos", "term")).groupBy("doc_id", "field", "term")
     return Index(settle(found.agg(F.sort_array(F.collect_list("pos")).alias("positions")), "postings"), settle(rows.select("doc_id", "field", F.size("words").alias("length")), "sizes"))
 

@@ -104,3 +104,10 @@ def test_bridges_merge_only_edges_of_neighbours(spark, monkeypatch):
     assert plans.QUERIES["gr_42_bridges"](spark, SMALL).count() > 0
     there = dict(seen)["there"]
     assert there.index("Aggregate") < there.index("LeftSemi")
+
+
+def test_texts_not_words_are_shuffled_for_an_index(spark, monkeypatch):
+    seen = _plans(monkeypatch, search)
+    index = search.build_index(spark.createDataFrame([(1, "a b a", None), (2, "b", "c")], "doc_id long, text string, source string"), ["text", "source"])
+    assert {(r.doc_id, r.field, r.term, tuple(r.positions)) for r in index.postings.collect()} == {(1, "text", "a", (0, 2)), (1, "text", "b", (1,)), (2, "text", "b", (0,)), (2, "source", "c", (0,))}
+    assert index.sizes.count() == 4 and "RepartitionByExpression [doc_id#" in dict(seen)["postings"]
