@@ -37,7 +37,7 @@ def src_13_15_nested_xml(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("_number"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"))).alias("line"))
     records = table(spark, d, "orders").join(li, F.expr("o_orderkey = l_orderkey")).select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("customer"), F.struct("line").alias("lines"))
     path = _fresh(spark, "xml")
-    records.write.format("xml").option("rowTag", "order").option("rootTag", "orders").save(path)
+    records.write.format("xml").option("rowTag", "order").option("rootTag", "orders").option("maxRecordsPerFile", X.RECORDS_PER_FILE).save(path)
     read = X.read_records(spark, path, "order", "_id long, customer long, lines struct<line: array<struct<_number: int, part: long, flag: string>>>")
     return read.select(F.col("_id").alias("o_orderkey"), F.col("customer").alias("o_custkey"), F.inline("lines.line")).select("o_orderkey", "o_custkey", F.col("_number").alias("line"), "part", "flag")
 

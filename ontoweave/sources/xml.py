@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Records of one file where files are written: a file is read whole by one task.
+RECORDS_PER_FILE = 50_000
+
 
 def read_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """The elements ``tag`` of all files under ``path`` by an explicit schema, with ``file``; attributes are columns that begin with _.

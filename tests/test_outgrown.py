@@ -111,3 +111,10 @@ def test_texts_not_words_are_shuffled_for_an_index(spark, monkeypatch):
     index = search.build_index(spark.createDataFrame([(1, "a b a", None), (2, "b", "c")], "doc_id long, text string, source string"), ["text", "source"])
     assert {(r.doc_id, r.field, r.term, tuple(r.positions)) for r in index.postings.collect()} == {(1, "text", "a", (0, 2)), (1, "text", "b", (1,)), (2, "text", "b", (0,)), (2, "source", "c", (0,))}
     assert index.sizes.count() == 4 and "RepartitionByExpression [doc_id#" in dict(seen)["postings"]
+
+
+def test_xml_files_are_of_bounded_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(xml, "RECORDS_PER_FILE", 100)
+    monkeypatch.setattr(files, "_fresh", lambda spark, name: str(tmp_path / name))
+    assert plans.QUERIES["src_13_15_nested_xml"](spark, SMALL).count() > 1000
+    assert len(list((tmp_path / "xml").glob("part-*"))) > 5
