@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search
+from ..operators.lineage import settle
 from ..sources import ontologies as O
 from ..sources import tables as T
 from .files import _fresh
@@ -76,7 +77,7 @@ def src_23_text_concepts(spark, d):
     subset = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pmid"))
     k = F.col("p_partkey")
     names = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.element_at(F.array(*map(F.lit, ("Disease", "Gene", "Chemical"))), (k % 3 + 1).cast("int")).alias("type"), F.concat(F.lit("MESH:P"), k.cast("string")).alias("db_id"), F.col("p_name").alias("name"))
-    return T.concepts(T.text_annotations(spark, _annotated(spark, d), subset), names)
+    return T.concepts(settle(T.text_annotations(spark, _annotated(spark, d), subset), "concepts"), names)
 
 
 @query("""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import parts_for
+
 # Cross-references of a trait by their prefix in the file, as (source, prefix of the index); stars of review states;
 # names that say that there is no trait.
 TRAIT_SOURCES = {
@@ -106,7 +108,9 @@ def text_annotations(spark: SparkSession, path: str, subset: DataFrame) -> DataF
 
 def concepts(annotations: DataFrame, names: DataFrame) -> DataFrame:
     """(type, db_id, name, papers): each concept with the number of papers, under its name in ``names`` (type, db_id, name), else its first mention."""
-    found = annotations.groupBy("type", "db_id").agg(F.count_distinct("pmid").alias("papers"), F.min_by("mention", "at").alias("mention"))
+    # A paper's mentions of a concept are made one first, in partitions of bounded size; ``annotations`` should be settled, as they are counted.
+    once = annotations.repartition(parts_for(annotations.count()), "type", "db_id", "pmid").groupBy("type", "db_id", "pmid").agg(F.min("at").alias("at"), F.min_by("mention", "at").alias("mention"))
+    found = once.groupBy("type", "db_id").agg(F.count("pmid").alias("papers"), F.min_by("mention", "at").alias("mention"))
     known = names.groupBy("type", "db_id").agg(F.min("name").alias("name"))
     return found.join(known, ["type", "db_id"], "left").select("type", "db_id", F.coalesce("name", "mention", "db_id").alias("name"), "papers")
 

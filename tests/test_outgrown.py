@@ -118,3 +118,10 @@ def test_xml_files_are_of_bounded_size(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(files, "_fresh", lambda spark, name: str(tmp_path / name))
     assert plans.QUERIES["src_13_15_nested_xml"](spark, SMALL).count() > 1000
     assert len(list((tmp_path / "xml").glob("part-*"))) > 5
+
+
+def test_concepts_of_a_paper_are_made_one_first(spark):
+    rows = spark.createDataFrame([(1, "Gene", "B1", "m2", 2), (1, "Gene", "B1", "m1", 1), (2, "Gene", "B1", None, 3), (2, "Gene", "C", None, 4)], "pmid long, type string, db_id string, mention string, at long")
+    found = tables.concepts(rows, spark.createDataFrame([], "type string, db_id string, name string"))
+    assert {tuple(r) for r in found.collect()} == {("Gene", "B1", "m1", 2), ("Gene", "C", "C", 1)}
+    assert "RepartitionByExpression [type#" in _plan(found)
