@@ -55,23 +55,43 @@ def reach(is_a: DataFrame, start: DataFrame, steps: int, down: bool = True) -> D
     return known
 
 
+def _carried(annotations: DataFrame, closed: DataFrame, *columns: str) -> DataFrame:
+    """(entity, *columns, ancestors): a term's ancestors travel as one list with each annotation to its entity, dealt by entity in partitions of bounded size."""
+    n = parts_for(max(annotations.count(), closed.count()))
+    up = closed.select(F.col("descendant").alias("term"), "ancestor").repartition(n, "term").groupBy("term").agg(F.collect_list("ancestor").alias("ancestors"))
+    # The lists of one of these partitions are few, so the annotations need no sort.
+    near = annotations.select("entity", "term", *columns).repartition(n, "term").join(up.hint("shuffle_hash"), "term").select("entity", *columns, "ancestors")
+    return near.repartition(n, "entity")
+
+
 def propagate(annotations: DataFrame, closed: DataFrame) -> DataFrame:
     """(entity, term, freq): annotations (entity, term, freq) carried to all ancestors, highest frequency wins.
 
-    ``annotations`` are counted first, so they should be settled: a term's ancestors travel as one list with each annotation to its
-    entity, in partitions of bounded size, and are only parted there.
+    Both tables are counted first, so they should be settled; lists of ancestors are only parted at their entity.
     """
-    n = parts_for(annotations.count())
-    up = closed.select(F.col("descendant").alias("term"), "ancestor").repartition(n, "term").groupBy("term").agg(F.collect_list("ancestor").alias("ancestors"))
-    near = annotations.select("entity", "term", "freq").repartition(n, "term").join(up, "term").select("entity", "freq", "ancestors")
-    return near.repartition(n, "entity").select("entity", F.explode("ancestors").alias("term"), "freq").groupBy("entity", "term").agg(F.max("freq").alias("freq"))
+    near = _carried(annotations, closed, "freq")
+    return near.select("entity", F.explode("ancestors").alias("term"), "freq").groupBy("entity", "term").agg(F.max("freq").alias("freq"))
 
 
 def term_weights(propagated: DataFrame) -> DataFrame:
     """(term, df, ic, specificity) over the entities of ``propagated``."""
     total = propagated.select(F.count_distinct("entity")).first()[0]
+    return _weights(propagated.groupBy("term").agg(F.count("*").alias("df")), total)  # (entity, term) is unique
+
+
+def annotation_weights(annotations: DataFrame, closed: DataFrame) -> DataFrame:
+    """The ``term_weights`` of annotations (entity, term) carried to all ancestors, where these pairs are only counted and not written.
+
+    Each entity is counted once more under no term, which gives their number in the same pass.
+    """
+    near = _carried(annotations, closed).select("entity", F.explode(F.concat("ancestors", F.array(F.lit(None)))).alias("term")).distinct()
+    counted = settle(near.groupBy("term").agg(F.count("*").alias("df"), F.count("entity").alias("named")), "counted")
+    total = counted.where("term is null").first()
+    return _weights(counted.where("term is not null").drop("named"), total["named"] if total else 0)
+
+
+def _weights(counted: DataFrame, total: int) -> DataFrame:
     ic = information_content(F.col("df"), F.lit(float(max(total, 1))))
-    counted = propagated.groupBy("term").agg(F.count("*").alias("df"))  # (entity, term) is unique
     share = F.try_divide(F.col("ic"), F.ln(F.lit(float(total)))) if total > 1 else F.lit(0.0)
     return counted.withColumn("ic", ic).withColumn("specificity", F.coalesce(share, F.lit(0.0)))
 
