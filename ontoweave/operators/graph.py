@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .lineage import settle
 
 
-def build_graph(edges: DataFrame) -> DataFrame:
-    """Parallel edges (src, dst, relation, source, evidence) merged by relation and source; no loops; evidence united."""
-    evidence = F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence"))))
-    return edges.where("src <> dst").groupBy("src", "dst", "relation", "source").agg(evidence.alias("evidence"))
+def build_graph(edges: DataFrame, parts: int) -> DataFrame:
+    """Parallel edges (src, dst, relation, source, proof) merged by relation and source: no loops; ``evidence``, the list of their different proofs.
+
+    Most edges have few parallels, so they are dealt to ``parts`` partitions as they are and lists are only made there.
+    """
+    key = ["src", "dst", "relation", "source"]
+    dealt = edges.where("src <> dst").repartition(parts, *key)
+    return dealt.groupBy(*key).agg(F.array_distinct(F.collect_list("proof")).alias("evidence"))
 
 
 def expand_frontier(edges: DataFrame, start: DataFrame, rounds: int, per_source: int, frontier: int) -> DataFrame:

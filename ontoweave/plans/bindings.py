@@ -47,13 +47,18 @@ def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return shut, ann, prop, settle(ontology.term_weights(prop), "weights")
 
 
-def lines_by_customer(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
-    """(o_custkey, l_partkey, *columns of lines), dealt by customer in partitions of bounded size."""
+def lines_by_order(spark: SparkSession, d: str, *columns: Column | str) -> DataFrame:
+    """(o_orderkey, o_custkey, l_partkey, *columns of lines) of lines with an order, joined in partitions of bounded size."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     of = parts_for(max(lines.count(), orders.count()))
     held = orders.select("o_orderkey", "o_custkey").repartition(of, "o_orderkey").hint("shuffle_hash")  # its partitions are small, so lines need no sort
     met = held.join(lines.select("l_orderkey", "l_partkey", *columns).repartition(of, "l_orderkey"), F.expr("o_orderkey = l_orderkey"))
-    return met.drop("o_orderkey", "l_orderkey").repartition(of, "o_custkey")
+    return met.drop("l_orderkey")
+
+
+def lines_by_customer(spark: SparkSession, d: str, *columns: Column | str) -> DataFrame:
+    """(o_custkey, l_partkey, *columns of lines) of lines with an order, dealt by customer in partitions of bounded size."""
+    return lines_by_order(spark, d, *columns).drop("o_orderkey").repartition(parts_for(table(spark, d, "lineitem").count()), "o_custkey")
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import degree_specificity
 from ..operators import graph, identity, ontology, similarity
-from ..operators.lineage import settle
-from .bindings import ONTOLOGY_SQL, annotations, closed, index, is_a
+from ..operators.lineage import parts_for, settle
+from .bindings import ONTOLOGY_SQL, annotations, closed, index, is_a, lines_by_order
 from .registry import query, table
 
 
@@ -170,7 +170,15 @@ e as (select 'supplier:' || l_suppkey as src, 'part:' || l_partkey as dst, 'sell
 
 @query(TRADE_SQL + "select src, dst, relation, source, list_sort(list(distinct proof)) as evidence from e group by all")
 def gr_19_build_graph(spark, d):
-    return graph.build_graph(_trade(spark, d))
+    """Ends and proofs are numbers until the edges are merged: thrice their key, with one more for suppliers and two for customers."""
+    lines = lines_by_order(spark, d, "l_suppkey", F.col("l_shipdate").cast("string").substr(1, 4).alias("source"))
+    edge = lambda key, kind, relation: F.struct((F.col(key) * 3 + kind).alias("src"), F.lit(relation).alias("relation"))
+    edges = lines.select(F.inline(F.array(edge("l_suppkey", 1, "sells"), edge("o_custkey", 2, "orders"))), (F.col("l_partkey") * 3).alias("dst"), "source", F.col("o_orderkey").alias("proof"))
+    merged = graph.build_graph(edges, parts_for(table(spark, d, "lineitem").count() * 2))
+    sold = F.col("relation") == "sells"
+    src = F.when(sold, F.concat(F.lit("supplier:"), F.expr("(src - 1) div 3").cast("string"))).otherwise(F.concat(F.lit("customer:"), F.expr("(src - 2) div 3").cast("string")))
+    evidence = F.sort_array(F.transform("evidence", lambda k: F.concat(F.lit("order:"), k.cast("string"))))
+    return merged.select(src.alias("src"), F.concat(F.lit("part:"), F.expr("dst div 3").cast("string")).alias("dst"), "relation", "source", evidence.alias("evidence"))
 
 
 @query(TRADE_SQL + ", ends as (select src as n, dst as o from e union select dst, src from e), deg as (select n, count(*) as degree from ends group by 1) select n as node, degree, round(greatest(0.05, 1 - log10(1 + degree) / 4), 6) as specificity from deg")

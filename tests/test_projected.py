@@ -3,7 +3,7 @@
 import math
 import random
 
-from ontoweave.operators import lineage, ontology, profiles
+from ontoweave.operators import graph, lineage, ontology, profiles
 from ontoweave.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,14 @@ def test_patients_of_one_feature_are_counted_without_meeting_it(spark):
             assert got[c].patients == len({p for k, p, _, _ in told if k == c}) and got[c].terms == len(has)
             assert math.isclose(got[c].supported, sum(bool(has[t]) for t in has if seen[t]) / sum(map(bool, seen.values())))
             assert got[c].contradicted == sum(said[c, t] >= 0.8 and seen[t] >= 3 and 2 * len(lacks[t]) > seen[t] for t in has)
+
+
+def test_graph_merges_numbers_and_makes_no_lists_before_the_shuffle(spark):
+    rows = [(1, 3, "sells", "1995", 10), (1, 3, "sells", "1995", 9), (1, 3, "sells", "1995", 10), (1, 3, "orders", "1995", 9), (1, 3, "sells", None, 7), (1, 3, "sells", None, 8), (3, 3, "sells", "1995", 1)]
+    merged = graph.build_graph(spark.createDataFrame(rows, "src long, dst long, relation string, source string, proof long"), 3)
+    assert {(*r[:4], tuple(sorted(r.evidence))) for r in merged.collect()} == {(1, 3, "sells", "1995", (9, 10)), (1, 3, "orders", "1995", (9,)), (1, 3, "sells", None, (7, 8))}
+    found = QUERIES["gr_19_build_graph"](spark, SF)
+    # Below every exchange there are only numbers of tables: no list, and no name of a node.
+    lower = [part.split("ObjectHashAggregate")[0] for part in found._jdf.queryExecution().executedPlan().toString().split("Exchange")[1:]]
+    assert len(lower) == 3 and not any("collect_list" in part or "supplier:" in part for part in lower)
+    assert [r.evidence for r in found.where("src = 'supplier:1' and size(evidence) > 1").collect()] == [sorted(r.evidence) for r in found.where("src = 'supplier:1' and size(evidence) > 1").collect()]
