@@ -163,7 +163,7 @@ def fit(counts: DataFrame, few: bool = True) -> Models:
             made = made.withColumn("low", F.lit(1.0) / (F.count("*").over(own) + 1))
         else:
             low = below.select("model", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("low"))
-            made = made.withColumns(dict(zip(("shi", "slo"), shorter(len(chances) + 1), strict=True))).join(low, ["model", "shi", "slo"])
+            made = made.withColumns(dict(zip(("shi", "slo"), shorter(len(chances) + 1), strict=True))).join(low.hint("merge"), ["model", "shi", "slo"])
         kept = ["model", *GRAM, "chi", "clo", "back", "low", "weight"]
         below = materialise(made.select(*kept, (F.col("share") + F.col("back") * F.col("low")).alias("p")), "chances")
         if unknown is None:
@@ -271,7 +271,8 @@ def score(texts: DataFrame, models: Models, slots: int = 1 << 20, filter_bits: i
     fields = "row long, symbols long, local double, keys array<long>, counts array<int>, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     local = materialise(rows.mapInArrow(run, fields), "local")
     met = local.where(F.size("keys") > 0).select("row", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
-    joined = met.join(cold, "key").groupBy("row").agg(F.sum(F.col("value") * F.col("n")).alias("more"))
+    # Spark sizes an explode as if each list held one run, so it would broadcast what may be the largest table of all.
+    joined = met.hint("merge").join(cold, "key").groupBy("row").agg(F.sum(F.col("value") * F.col("n")).alias("more"))
     known = F.broadcast(models.unknown) if few else models.unknown.hint("merge")
     total = F.col("symbols") * F.col("unknown") + F.col("local") + F.coalesce("more", F.lit(0.0))
     found = local.drop("keys", "counts").join(joined, "row", "left").join(known, "model", "left")

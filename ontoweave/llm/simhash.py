@@ -249,6 +249,10 @@ class Forest:
         return x
 
 
+#: Keys of several rows that are broadcast at most.
+MOST_KEYS = 300_000
+
+
 def cells(keyed: DataFrame, group_rows: int, group_bytes: int = 8 << 20) -> DataFrame:
     """``keyed`` (number, key, node, ...) by (number, key, low, high), in sorted partitions: keys of one row are left out, and those
     of more than ``group_rows`` rows, or ``group_bytes`` of shingles, are cut into parts of which each pair meets."""
@@ -257,8 +261,10 @@ def cells(keyed: DataFrame, group_rows: int, group_bytes: int = 8 << 20) -> Data
     many = keyed.groupBy("number", "key").agg(F.count("*").alias("rows"), held.alias("bytes")).where(F.col("rows") > 1)
     parts = F.ceil(F.greatest(F.col("rows") / F.lit(group_rows), F.col("bytes") / F.lit(group_bytes))).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    # Spark sizes what Arrow functions make by what they read, so a side is broadcast only when a count allows it.
+    many = materialise(many.select("number", "key", parts.alias("parts")), "many")
     dealt = (
-        keyed.join(many.select("number", "key", parts.alias("parts")), ["number", "key"])
+        keyed.join(many.hint("broadcast" if many.count() <= MOST_KEYS else "merge"), ["number", "key"])
         .withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("number", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), *rest)
     )

@@ -225,3 +225,25 @@ def test_sites(spark):
     outcomes = spark.createDataFrame([(i, i % 2 if i < 40 else 0) for i in range(60)], "page_id long, bad int")
     rates = {r.host: r.bad_rate for r in url_reputation.judge_urls(pages, outcomes).select("host", "bad_rate").distinct().collect()}
     assert rates["bad.github.io"] > 0.8 and rates["good.github.io"] < 0.2
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_texts_are_never_broadcast(spark):
+    texts = spark.createDataFrame([(i, "ab cd " * i, 1) for i in range(1, 9)], "id long, text string, model long")
+    models = kneser_ney.fit(kneser_ney.count_runs(texts))
+    # A list of runs counts as one row when its table is sized, so no size may decide.
+    plan = _physical(kneser_ney.score(texts, models, 1 << 4, 1 << 8))
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+
+
+def test_keys_of_cells_are_broadcast_by_count_alone(spark, monkeypatch):
+    rows = simhash.materialise(spark.createDataFrame([(n % 3, n % 7, n, bytes([n] * 16)) for n in range(60)], "number int, key long, node long, fp binary"), "rows")
+    keyed = rows.mapInArrow(lambda batches: batches, rows.schema)
+    few = simhash.cells(keyed, 2)
+    monkeypatch.setattr(simhash, "MOST_KEYS", 20)
+    many = simhash.cells(keyed, 2)
+    assert "BuildRight" in _physical(few) and "BuildLeft" not in _physical(few) and "Broadcast" not in _physical(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.select("node").distinct().count() == 60
