@@ -82,3 +82,12 @@ def test_candidates_are_scored_in_their_row(spark):
     assert scored.count() == covered.count() == len(among)
     # A candidate is never made into a row for each of its case's terms.
     assert "Generate" not in _plan(scored) + _plan(covered)
+
+
+def test_pins_read_a_ranking_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(ranking, "settle", lambda df, name="step", plain=ranking.settle: names.append(name) or plain(df, name))
+    rows = spark.createDataFrame([(1, f"e{i}", 1.0 / i, 1, [], i) for i in range(1, 20)], "case int, entity string, score double, full int, xrefs array<string>, rank int")
+    found = ranking.pin(rows, spark.createDataFrame([(1, "e7", 1), (1, "e18", 2)], "case int, entity string, ord int"), 3)
+    assert names == ["near"]
+    assert [(r.entity, r.pinned, r.score > 0) for r in found.orderBy("rank").collect()] == [("e7", True, True), ("e18", True, False), ("e1", False, True)]
