@@ -16,7 +16,7 @@ from .lineage import parts_for, settle
 
 
 #: Feature entries of one block of sets, and sets of one; two blocks are what a task holds at once.
-BLOCK_ENTRIES, BLOCK_SETS = 2_000_000, 8192
+BLOCK_ENTRIES, BLOCK_SETS = 4_000_000, 16_384
 
 
 def _compared(at_least: float, entity: DataType) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -103,22 +103,48 @@ def _compared(at_least: float, entity: DataType) -> Callable[[tuple, pa.Table],
     return compare
 
 
+def _blocks(sizes: list[tuple[int, int]], at_least: float, block_entries: int, block_sets: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, list[int]]]]:
+    """(size, first block, blocks) of each (size, sets), and (block, blocks that it meets): blocks of rising sizes and bounded entries and sets,
+    which meet where the smallest sets of one can have the Jaccard with the largest of the other."""
+    # A small input is still dealt to several tasks.
+    block_sets = min(block_sets, max(256, -(-sum(c for _, c in sizes) // 6)))
+    placed, bounds, room, left = [], [], 0, 0
+    for n, count in sizes:
+        parts = max(-(-count * n // block_entries), -(-count // block_sets))
+        if parts == 1 and bounds and count * n <= room and count <= left:
+            bounds[-1][1] = n
+            placed.append((n, len(bounds) - 1, 1))
+        else:
+            placed.append((n, len(bounds), parts))
+            bounds += [[n, n] for _ in range(parts)]
+            room, left = (block_entries, block_sets) if parts == 1 else (count * n, count)  # a size that is cut shares no block
+        room, left = room - count * n, left - count
+    meets = lambda x, y: min(x[1], y[1]) >= at_least * max(x[0], y[0]) - 1e-9
+    return placed, [(i, [j for j, y in enumerate(bounds) if meets(x, y)]) for i, x in enumerate(bounds)]
+
+
 def jaccard_pairs(features: DataFrame, at_least: float, block_entries: int = BLOCK_ENTRIES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(a, b, shared, jaccard), a < b, of all entities of (entity, feature) with a Jaccard of ``at_least``, which is above 0.
 
-    The sets, with numbers for their features, are dealt to blocks of bounded size, and each pair of blocks is compared in one
-    task: no pair that fails, and no set for each of its pairs, is ever shuffled. Each set goes to as many tasks as there are blocks,
-    so the work stays quadratic in the sets but what moves is the sets times their blocks.
+    The sets, with numbers for their features, are dealt to blocks of bounded size in the order of their sizes, and each pair of blocks whose
+    sizes allow the Jaccard is compared in one task: no pair that fails, and no set for each of its pairs, is ever shuffled. Each set goes to as
+    many tasks as there are such blocks, so the work stays quadratic in the sets of like size but what moves is the sets times these blocks.
     """
     rows = settle(features.where("entity is not null and feature is not null").select("entity", "feature").distinct(), "features")
-    # Numbers are settled, as they depend on the run.
-    numbers = settle(rows.select("feature").distinct().withColumn("f", F.monotonically_increasing_id()), "numbers")
-    sets = settle(rows.join(numbers, "feature").groupBy("entity").agg(F.array_sort(F.collect_list("f")).alias("features")).withColumn("n", F.size("features")), "sets")
-    entries, count = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # A small input is still dealt to several tasks.
-    blocks = max(-(-entries // block_entries), -(-count // block_sets), min(6, -(-count // 256)), 1)
-    dealt = sets.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
-    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")).select(F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "entity", "n", "features")
+    # Numbers are settled, as they depend on the run; they have no gaps but between tasks.
+    numbers = settle(rows.select("feature").distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
+    within = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    each = (numbers.agg(F.max(within)).first()[0] or 0) + 1
+    numbers = numbers.select("feature", (F.shiftright("id", 33) * each + within).cast("int").alias("f"))
+    sets = settle(rows.join(numbers.hint("merge"), "feature").groupBy("entity").agg(F.array_sort(F.collect_list("f")).alias("features")).withColumn("n", F.size("features")), "sets")
+    sizes = sorted((r.n, r.sets) for r in sets.groupBy("n").agg(F.count("*").alias("sets")).collect())  # a row for each size, fewer than the square root of twice the entries
+    placed, partners = _blocks(sizes, at_least, block_entries, block_sets)
+    spark = sets.sparkSession
+    place = F.broadcast(spark.createDataFrame(placed, "n int, first int, parts int"))
+    meets = F.broadcast(spark.createDataFrame(partners, "block int, partners array<int>"))
+    dealt = sets.join(place, "n").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("entity"), F.col("parts"))).cast("int")).join(meets, "block")
+    dealt = settle(dealt.select("block", "entity", "n", "features", "partners"), "blocks")
+    cells = dealt.select("block", "entity", "n", "features", F.explode("partners").alias("with")).select(F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "entity", "n", "features")
     kind = sets.schema["entity"].dataType
     schema = StructType().add("a", kind).add("b", kind).add("shared", "long").add("jaccard", "double")
     found = cells.groupBy("lo", "hi").applyInArrow(_compared(at_least, kind), schema)

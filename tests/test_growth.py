@@ -91,3 +91,21 @@ def test_pins_read_a_ranking_once(spark, monkeypatch):
     found = ranking.pin(rows, spark.createDataFrame([(1, "e7", 1), (1, "e18", 2)], "case int, entity string, ord int"), 3)
     assert names == ["near"]
     assert [(r.entity, r.pinned, r.score > 0) for r in found.orderBy("rank").collect()] == [("e7", True, True), ("e18", True, False), ("e1", False, True)]
+
+
+def test_blocks_meet_where_sizes_allow_a_pair():
+    sizes = [(n, 3 + n % 5) for n in range(1, 60)] + [(60, 900)]
+    placed, partners = similarity._blocks(sizes, 0.4, 500, 40)
+    held, meets = {}, dict(partners)
+    for (n, first, parts), (size, count) in zip(placed, sizes):
+        assert n == size
+        for b in range(first, first + parts):
+            held.setdefault(b, []).append((n, count / parts))
+    assert set(held) == set(meets) and max(held) > 20
+    assert all(sum(c for _, c in h) <= 40 and (sum(n * c for n, c in h) <= 500 or len(h) == 1) for h in held.values())
+    for a, x in held.items():
+        for b, y in held.items():
+            assert (b in meets[a]) == (a in meets[b]) and (b in meets[a] or not any(min(m, n) >= 0.4 * max(m, n) for m, _ in x for n, _ in y))
+    # Most blocks are too far apart in size to meet.
+    wide = similarity._blocks([(2**k, 100) for k in range(12)], 0.4, 1 << 20, 100)[1]
+    assert sum(len(p) for _, p in wide) < 0.3 * len(wide) ** 2
