@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import noisy_or
-from .lineage import settle
+from .lineage import parts_for, settle
 
 # The weight of a shared or linked neighbour by its kind, and of phenotypes, each and at most.
 KIND_WEIGHTS = {"gene": 0.5, "pathway": 0.8, "process": 0.6, "cell_type": 0.5, "cell": 0.5, "anatomy": 0.4}
@@ -64,24 +66,27 @@ def bridges(inputs: DataFrame, near: DataFrame, kinds: DataFrame, symptoms: Data
     return found
 
 
-def mechanisms(inputs: DataFrame, edges: DataFrame, papers: DataFrame, kinds: DataFrame, causal: DataFrame, n: int, wanted: tuple[str, ...] = ("gene", "pathway", "process", "cell_type")) -> DataFrame:
+def mechanisms(inputs: DataFrame, edges: DataFrame, papers: DataFrame, kinds: DataFrame, causal: DataFrame, n: int, wanted: tuple[str, ...] = ("gene", "pathway", "process", "cell_type"), name: Callable[[str], Column] = F.col) -> DataFrame:
     """(input, node, papers, confidence, place): the ``n`` best supported nodes of the ``wanted`` kinds that are established in each input.
 
     ``inputs`` (input, entity): an input's own entities and its models. ``edges`` (edge, src, dst, confidence, mostly_negative, solution,
     context) establish the end that is not one of these entities; a solution's edge establishes its target also if its
     ``context`` is one. ``papers`` (edge, paper) are counted once a node. ``causal`` (input, node) of the source graph count with
-    confidence 1 where no edge tells. Edges that are mostly negative or without confidence establish nothing.
+    confidence 1 where no edge tells. Edges that are mostly negative or without confidence establish nothing. ``name`` makes of the column
+    of a node what ties are ordered by, where nodes are numbers.
     """
     good = edges.where("not coalesce(mostly_negative, false) and confidence > 0")
     of = inputs.select("input", "entity").distinct()
     at = lambda end, m, rows: rows.join(of.withColumnRenamed("entity", end), end).select("input", F.col(m).alias("node"), "edge", "confidence")
     told = at("src", "dst", good).unionByName(at("dst", "src", good)).unionByName(at("context", "dst", good.where("solution"))).where("node is not null").distinct()
     told = told.join(of.withColumnRenamed("entity", "node"), ["input", "node"], "left_anti")
-    told = told.join(kinds.where(F.col("kind").isin(*wanted)).select("node").distinct(), "node", "left_semi")
+    # Confidence and papers both read what is told, so it is settled.
+    told = settle(told.join(kinds.where(F.col("kind").isin(*wanted)).select("node").distinct(), "node", "left_semi"), "told")
     sure = told.groupBy("input", "node").agg(noisy_or(F.col("confidence")).alias("confidence"))
-    proof = told.join(papers, "edge").groupBy("input", "node").agg(F.count_distinct("paper").alias("papers"))
+    of = parts_for(told.count())
+    proof = told.select("input", "node", "edge").repartition(of, "edge").join(papers.repartition(of, "edge"), "edge").groupBy("input", "node").agg(F.count_distinct("paper").alias("papers"))
     rest = causal.select("input", "node").distinct().join(kinds.where(F.col("kind").isin(*wanted)).select("node").distinct(), "node", "left_semi").join(sure, ["input", "node"], "left_anti")
     every = sure.join(proof, ["input", "node"], "left").na.fill(0, ["papers"]).unionByName(rest.select("input", "node", F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("papers")))
     every = every.withColumn("confidence", F.round("confidence", 9))  # sums of logarithms differ in their last digits by the order of rows
-    place = F.row_number().over(Window.partitionBy("input").orderBy(F.desc("papers"), F.desc("confidence"), "node"))
+    place = F.row_number().over(Window.partitionBy("input").orderBy(F.desc("papers"), F.desc("confidence"), name("node")))
     return every.withColumn("place", place).where(F.col("place") <= n).select("input", "node", "papers", "confidence", "place")

@@ -81,3 +81,16 @@ def test_contradictions_are_told_where_lines_are_dealt_by_customer(spark, tmp_pa
     # Lines are read once, and entities and ancestors meet in no join.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 1 and "LeftSemi" not in plan
+
+
+def test_mechanisms_settle_what_is_told_and_order_numbers_by_name(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ontoweave.operators import mechanisms
+
+    names = _settled(monkeypatch, mechanisms)
+    edges = spark.createDataFrame([(e, 1, dst, 0.5, False, False, None) for e, dst in enumerate((9, 10, 11))], "edge long, src long, dst long, confidence double, mostly_negative boolean, solution boolean, context long")
+    papers = spark.createDataFrame([(0, "p"), (1, "q"), (2, "q"), (2, "r"), (2, "r")], "edge long, paper string")
+    kinds, inputs = spark.createDataFrame([(n, "gene") for n in (9, 10, 11, 12)], "node long, kind string"), spark.createDataFrame([(1, 1)], "input long, entity long")
+    found = mechanisms.mechanisms(inputs, edges, papers, kinds, spark.createDataFrame([(1, 12)], "input long, node long"), 4, name=lambda c: F.col(c).cast("string"))
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 11, 2, 0.5, 1), (1, 10, 1, 0.5, 2), (1, 9, 1, 0.5, 3), (1, 12, 0, 1.0, 4)] and names == ["told"]
